@@ -14,19 +14,22 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from framewright.llm.common import uncollected
+
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Runs of non-space with the space before it, or spaces: what the pre-tokenizer never joins.
 CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 INNER = f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{SPACE}\\p{{L}}\\p{{N}}]+"
 INF = np.int64(1) << 60
 #: Cells of the trees that are merged together, and chunks whose ids a worker keeps.
-CELLS, MEMO = 1 << 20, 150_000
+CELLS, MEMO = 1 << 20, 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -174,19 +177,20 @@ class ByteBpe:
         As `encode` and `decode`, but chunks that a worker has met are kept in this form."""
         split = [self._chunks(t) if t else [] for t in texts]
         memo = self.memo
-        fresh = [[c for c in set(chunks) if c not in memo] for chunks in split]
-        extra: dict[str, tuple[bytes, bytes]] = {}
-        for c, ids in self._known(fresh).items():
-            extra[c] = (",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids)))
-        for c, x in extra.items():
-            if len(memo) >= MEMO:
-                break
-            memo[c] = x
+        new = set().union(*split).difference(memo)
+        before = len(memo)
+        for c, ids in self._known([list(new)]).items():
+            memo[c] = (",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids)))
         for chunks in split:
-            both = [memo.get(c) or extra[c] for c in chunks]
-            ids = b",".join([x[0] for x in both])
-            raw = b"".join([x[1] for x in both]).decode("utf-8", "replace").encode()
-            yield ids.count(b",") + 1 if both else 0, ids, raw
+            if chunks:
+                ids, raw = zip(*map(memo.__getitem__, chunks), strict=True)
+                all_ids = b",".join(ids)
+                yield all_ids.count(b",") + 1, all_ids, b"".join(raw).decode("utf-8", "replace").encode()
+            else:
+                yield 0, b"", b""
+        if len(memo) > MEMO:  # the oldest stay: frequent chunks come early
+            for c in list(islice(memo, max(before, MEMO), None)):
+                del memo[c]
 
 
 @lru_cache(maxsize=2)
@@ -231,8 +235,12 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = list(byte_bpe(path).digests(b.column(1).to_pylist()))
-            ids, texts = ([hashlib.sha256(x[k]).hexdigest() for x in got] for k in (1, 2))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], schema.names)
+            with uncollected():
+                counts, ids, texts = [], [], []
+                for n, x, raw in byte_bpe(path).digests(b.column(1).to_pylist()):
+                    counts.append(n)
+                    ids.append(hashlib.sha256(x).hexdigest())
+                    texts.append(hashlib.sha256(raw).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], schema.names)
 
     return df.select(key, text).mapInArrow(run, schema)

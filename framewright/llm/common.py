@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches are bounded by rows and by bytes, so very long texts can't pile up in a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 5000, 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,3 +32,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="framewright-"))
     return df.checkpoint()
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No cyclic garbage collection while a batch makes millions of small objects that hold no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
