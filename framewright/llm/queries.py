@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framewright.llm import bpe, common, token_counts
+from framewright.llm import bpe, common, language_id, secrets, sharding, simhash, token_counts
 
 TOKEN_LIMIT = 4096
 
@@ -17,6 +18,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_text(common.documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.bounded_batches(spark)
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
@@ -29,10 +34,32 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.bounded_batches(spark)
+    return secrets.scan(common.documents(spark, sf_dir))
+
+
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.bounded_batches(spark)
+    return simhash.near_duplicates(common.documents(spark, sf_dir))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.bounded_batches(spark)
+    docs = common.documents(spark, sf_dir)
+    filters = language_id.learn(language_id.training(docs))
+    found = language_id.identify(docs.select("doc_id", "text"), filters)
+    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_label_propagation_shards": op1_label_propagation_shards,
         "op2_token_counts": op2_token_counts,
         "op4_bpe_round_trip": op4_bpe_round_trip,
+        "op5_secret_scan": op5_secret_scan,
+        "op9_simhash_components": op9_simhash_components,
+        "op10_language_id": op10_language_id,
     }
 
 
