@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, common, flac, language_id, mixing, permutation_index, secrets, sharding, simhash, token_counts
+from framewright.llm import bpe, common, flac, language_id, mixing, permutation_index, repeats, secrets, sharding, simhash, token_counts
 
 TOKEN_LIMIT = 4096
 
@@ -100,6 +100,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(common.documents(spark, sf_dir))
 
 
+def op8_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.bounded_batches(spark)
+    return repeats.without_repeats(common.documents(spark, sf_dir))
+
+
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.bounded_batches(spark)
     return simhash.near_duplicates(common.documents(spark, sf_dir))
@@ -122,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": op5_secret_scan,
         "op6_flac_round_trip": op6_flac_round_trip,
         "op7_permutation_neighbours": op7_permutation_neighbours,
+        "op8_maximal_repeats": op8_maximal_repeats,
         "op9_simhash_components": op9_simhash_components,
         "op10_language_id": op10_language_id,
     }
