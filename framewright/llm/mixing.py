@@ -25,6 +25,8 @@ SEED, EPOCHS = 17, 4
 #: Hex digits of the order that name a bucket.
 DIGITS = 3
 NUMBER = "decimal(38,0)"
+#: Leaves whose plan, some 200 bytes each, may be broadcast.
+LEAVES = 50_000
 
 
 def share(nodes: DataFrame, parent: list[str], node: list[str], weight: Column) -> DataFrame:
@@ -83,7 +85,7 @@ def plan(df: DataFrame, tokens: Column, levels: Mapping[str, Column], weights: M
     inside = part.join(edge, [*LEVELS, "__bucket"]).withColumn("sum", F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("__order", "__key")) + F.col("before"))
     last = inside.where("sum <= __rest").groupBy(*LEVELS).agg(F.max(F.struct("__order", "__key")).alias("last"))
     cut = edge.join(last, list(LEVELS), "left").select(*LEVELS, F.col("__bucket").alias("cut_bucket"), F.col("last.__order").alias("cut_order"), F.col("last.__key").alias("cut_key"))
-    return found.join(cut, list(LEVELS), "left")
+    return checkpointed(found.join(cut, list(LEVELS), "left"))
 
 
 def order_of(key: Column, seed: int, epoch: Column) -> Column:
@@ -95,8 +97,10 @@ def selected(df: DataFrame, leaves: DataFrame, levels: Mapping[str, Column], key
     """Rows of `df` once for each epoch that takes them, with column `epoch` (from 0). No other column changes.
 
     Whole epochs take every row, the next one the rows up to the leaf's cut. The plan has one row a
-    leaf and is joined as the optimizer sees fit. Rows with equal order and key are taken together."""
+    leaf: up to LEAVES of them, which are counted, it is broadcast, so texts stay where they are;
+    beyond that it is joined by shuffle. Rows with equal order and key are taken together."""
     named = leaves.select(*[F.col(k).alias(f"__{k}") for k in LEVELS], F.col("full_epochs").alias("__full"), F.col("rest").alias("__rest"), F.col("cut_bucket").alias("__cut_bucket"), F.col("cut_order").alias("__cut"), F.col("cut_key").alias("__cut_key"))
+    named = F.broadcast(named) if leaves.count() <= LEAVES else named.hint("merge")
     keyed = df.withColumns({f"__{k}": F.coalesce(levels[k], F.lit("")) for k in LEVELS}).join(named, [f"__{k}" for k in LEVELS])
     order = order_of(F.col(key), seed, F.col("__full"))
     # without a cut bucket the rest holds the whole leaf; without a cut no row of that bucket fits

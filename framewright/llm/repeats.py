@@ -305,6 +305,26 @@ def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _table(list(zip(*out, strict=True)), SPANS)
 
 
+def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by window: those without one, and those whose window comes more than once."""
+    held: tuple | None = None
+    for b in batches:
+        window = b.column(4)
+        free = window.is_null()
+        yield b.filter(free)
+        out: list[tuple] = []
+        for x in zip(*(c.to_pylist() for c in b.filter(window.is_valid()).columns), strict=True):
+            if held is not None and held[4] == x[4]:
+                if held[3] >= 0:
+                    out.append(held)
+                out.append(x)
+                held = (*x[:3], -1, x[4])  # it is out already
+            else:
+                held = x
+        if out:
+            yield _table(list(zip(*out, strict=True)), SPANS)
+
+
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, row, text, wanted) to the contexts wanted."""
     for b in batches:
@@ -340,17 +360,16 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", kept
     keyed = df.select(F.col(key).cast("long").alias("doc"), row.alias("row"), F.col(text).alias("text"))
     found = keyed.select("doc", "row", "text").mapInArrow(find_anchors, ROWS).repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(settle, SETTLED)
     found = checkpointed(found)
-    same = F.col("doc").eqNullSafe(F.col("d"))
+    on = (F.col("row") == F.col("r")) & F.col("doc").eqNullSafe(F.col("d"))
     texts = keyed.repartition("row")  # both joins read this one shuffle of the texts
     wanted = found.where("request = 1").groupBy(F.col("doc").alias("d"), "row").agg(F.collect_list(F.struct("gram", "at", "first", "last")).alias("wanted"))
-    places = texts.join(wanted, "row").where(same).select("doc", "row", F.coalesce("text", F.lit("")).alias("text"), "wanted").mapInArrow(fetch, PLACES)
-    grown = checkpointed(places.repartition("gram").sortWithinPartitions("gram").mapInArrow(grow, SPANS))
-    windows = grown.where("window IS NOT NULL")
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    spans = found.where("request = 0").select("doc", "row", "first", (F.col("last") + WIDTH).alias("end"))
-    spans = spans.unionByName(grown.where("window IS NULL").drop("window")).unionByName(windows.join(twice, "window", "left_semi").drop("window"))
+    places = texts.join(wanted.withColumnRenamed("row", "r"), on).select("doc", "row", F.coalesce("text", F.lit("")).alias("text"), "wanted").mapInArrow(fetch, PLACES)
+    grown = places.repartition("gram").sortWithinPartitions("gram").mapInArrow(grow, SPANS)
+    by = F.coalesce("window", F.xxhash64("row", "first"))
+    counted = grown.repartition(by).sortWithinPartitions("window").mapInArrow(twice, SPANS)
+    spans = found.where("request = 0").select("doc", "row", "first", (F.col("last") + WIDTH).alias("end")).unionByName(counted.drop("window"))
     lists = spans.groupBy(F.col("doc").alias("d"), "row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    joined = texts.join(lists.withColumnRenamed("row", "r"), (F.col("row") == F.col("r")) & same, "left").select(F.col("doc").alias(key), "text", "spans")
+    joined = texts.join(lists.withColumnRenamed("row", "r"), on, "left").select(F.col("doc").alias(key), "text", "spans")
     schema = T.StructType([T.StructField(key, T.LongType()), *CUT, *([T.StructField(kept, T.BinaryType())] if kept else [])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
