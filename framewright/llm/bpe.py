@@ -29,7 +29,9 @@ CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 INNER = f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{SPACE}\\p{{L}}\\p{{N}}]+"
 INF = np.int64(1) << 60
 #: Cells of the trees that are merged together, and chunks whose ids a worker keeps.
-CELLS, MEMO = 1 << 20, 300_000
+CELLS, MEMO = 1 << 20, 150_000
+#: Characters of the texts that are worked on together.
+SOME = 6 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -175,15 +177,27 @@ class ByteBpe:
         """Number of ids, the decimal ids joined by commas and the decoded bytes of each text.
 
         As `encode` and `decode`, but chunks that a worker has met are kept in this form."""
-        split = [self._chunks(t) if t else [] for t in texts]
-        memo = self.memo
-        new = set().union(*split).difference(memo)
-        before = len(memo)
-        for c, ids in self._known([list(new)]).items():
-            memo[c] = (",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids)))
-        for chunks in split:
-            if chunks:
-                ids, raw = zip(*map(memo.__getitem__, chunks), strict=True)
+        at = 0
+        while at < len(texts):
+            size, start = 0, at
+            while at < len(texts) and (size < SOME or at == start):
+                size += len(texts[at] or "")
+                at += 1
+            yield from self._digests(texts[start:at])
+
+    def _digests(self, texts: list[str | None]) -> Iterator[tuple[int, bytes, bytes]]:
+        memo, new = self.memo, set()
+        for t in texts:  # chunks are cut again below: all of a batch at once are large
+            if t:
+                new.update(self._chunks(t))
+        new.difference_update(memo)
+        before, parts = len(memo), list(new)
+        for k in range(0, len(parts), 20_000):
+            for c, ids in self._known([parts[k : k + 20_000]]).items():
+                memo[c] = (",".join(map(str, ids)).encode(), b"".join(map(self.bytes_of.__getitem__, ids)))
+        for t in texts:
+            if t:
+                ids, raw = zip(*map(memo.__getitem__, self._chunks(t)), strict=True)
                 all_ids = b",".join(ids)
                 yield all_ids.count(b",") + 1, all_ids, b"".join(raw).decode("utf-8", "replace").encode()
             else:
