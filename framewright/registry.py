@@ -1,15 +1,13 @@
-"""All registered queries of the library and the SQL that each must agree with."""
+"""All registered queries of the engine and the SQL that each must agree with."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from framewright.plans.queries import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
