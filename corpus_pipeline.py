@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from framewright.llm import bpe, common, language_id, queries, secrets, simhash
 
-#: A document is rejected if it has no letter, or if no language holds so much of its n-grams.
-LEAST_SCORE = 0.2
+#: A document is rejected if it has no letter, or if no language holds even so much of its n-grams; clean text in odd words stays.
+LEAST_SCORE = 0.01
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ MARK = "▁"
 WORDS = re.compile(f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
 #: Words whose count a worker keeps; others are counted again in each batch that holds them.
 MEMO = 200_000
+#: Characters of the texts that are worked on together.
+SOME = 6 << 20
 
 
 class PieceMerger:
@@ -138,22 +141,24 @@ def merger(path: str) -> tuple[PieceMerger, dict[str, int]]:
 def count_texts(texts: list[str | None], path: str) -> list[int]:
     """Tokens of each text, as the library gives them without begin and end tokens; null counts as empty."""
     m, memo = merger(path)
-    split = [WORDS.findall(" " + t) if t else [] for t in texts]
-    new = list(set().union(*split).difference(memo)) if split else []
-    extra: dict[str, int] = {}
-    for k in range(0, len(new), 50_000):
-        part = new[k : k + 50_000]
-        extra.update(zip(part, m.counts([w.replace(" ", MARK) for w in part]).tolist(), strict=True))
-    if len(memo) + len(extra) <= MEMO:
-        memo.update(extra)
-        look = memo
-    else:
-        for w, n in extra.items():
-            if len(memo) >= MEMO:
-                break
-            memo[w] = n
-        look = memo | extra if len(extra) > 200 else {**memo, **extra}
-    return [sum(map(look.__getitem__, w)) for w in split]
+    out: list[int] = []
+    at = 0
+    while at < len(texts):
+        size, split = 0, []
+        while at < len(texts) and (size < SOME or not split):
+            split.append(WORDS.findall(" " + texts[at]) if texts[at] else [])
+            size += len(texts[at] or "")
+            at += 1
+        new = list(set().union(*split).difference(memo))
+        before = len(memo)
+        for k in range(0, len(new), 50_000):
+            part = new[k : k + 50_000]
+            memo.update(zip(part, m.counts([w.replace(" ", MARK) for w in part]).tolist(), strict=True))
+        out += [sum(map(memo.__getitem__, w)) for w in split]
+        if len(memo) > MEMO:  # the oldest stay: frequent words come early
+            for w in list(islice(memo, max(before, MEMO), None)):
+                del memo[w]
+    return out
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", n_tokens: str = "n_tokens", n_bytes: str = "n_bytes") -> DataFrame:
