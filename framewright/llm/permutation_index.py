@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from framewright.llm.common import checkpointed
 
 #: Pivots (a sample of at most so many rows), inverted files that a vector is posted in, share reranked (of a block, at least LEAST).
-PIVOTS, POSTED, SHARE, LEAST = 128, 24, 0.12, 200
+PIVOTS, POSTED, SHARE, LEAST = 128, 32, 0.12, 400
 ROWS, QUERIES = 4096, 4096
 HITS = T.StructType([T.StructField("q_row", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
