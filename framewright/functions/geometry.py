@@ -18,7 +18,12 @@ def normalised(q: Parts) -> list[Column]:
 
 def euler(q: Parts) -> list[Column]:
     """Roll, pitch and yaw. At the poles roll is 0 and yaw takes all of the turn."""
-    x, y, z, w = normalised(q)
+    return unit_euler(normalised(q))
+
+
+def unit_euler(q: Parts) -> list[Column]:
+    """The same of a quaternion that is normalised already."""
+    x, y, z, w = q
     sinp = 2 * (w * y - z * x)
     pole = F.abs(sinp) >= 1 - 1e-9
     roll = F.when(pole, 0.0).otherwise(F.atan2(2 * (w * x + y * z), 1 - 2 * (x * x + y * y)))

@@ -445,3 +445,49 @@ def pose_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
 def target_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("rate_class")).agg(F.percentile("o_totalprice", F.lit(0.5)).alias("m"))
     return m.select("rate_class", F.round("m", 6).alias("median_rate"), F.greatest(F.lit(1), F.rint("m").cast("long")).cast("long").alias("target"))
+
+
+TF = "p AS (SELECT user_id AS episode_index, epoch_us(ts) * 1000 AS stamp_ns, event_id AS seq, value AS tx FROM events WHERE event_type = 'signup')"
+
+
+@register(f"""WITH {M}, {WINDOW}, {GRID}, {TF}, b AS (SELECT g.*, p.stamp_ns AS tb, p.tx AS xb FROM grid g ASOF LEFT JOIN p ON g.episode_index = p.episode_index AND g.grid_ns > p.stamp_ns),
+a AS (SELECT b.*, p.stamp_ns AS ta, p.tx AS xa FROM b ASOF LEFT JOIN p ON b.episode_index = p.episode_index AND b.grid_ns <= p.stamp_ns)
+SELECT episode_index, frame_index, round(CASE WHEN ta IS NULL OR grid_ns - tb <= ta - grid_ns THEN xb ELSE xa END + 1, 4) AS x FROM a""")
+def tf_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.operators import transforms
+
+    e = messages(spark, sf_dir).where("topic = 'signup'")
+    edge = e.select("episode_index", F.col("recv_ns").alias("stamp_ns"), "seq", F.col("value").alias("tx"), *[F.lit(0.0).alias(c) for c in ("ty", "tz", "qx", "qy", "qz")], F.lit(1.0).alias("qw"))
+    out = transforms.sample(grid(spark, sf_dir), [("base", "arm"), ("arm", "hand")], {1: edge}, {0: (1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)}, "base", "hand")
+    return out.select("episode_index", "frame_index", F.round(F.col("value")[0].cast("double"), 4).alias("x"))
+
+
+@register("SELECT event_type AS topic, count(*) AS count FROM events WHERE event_type <> '/tf' GROUP BY 1 HAVING count(*) >= 1900")
+def topic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.operators import metadata
+
+    found = metadata.topics(messages(spark, sf_dir).withColumn("msg_type", F.lit("std_msgs/msg/Float64")))
+    return metadata.useful_topics(found, 1900).select("topic", "count")
+
+
+@register("SELECT conv_id, CASE WHEN count(DISTINCT role) = 1 THEN min(role) ELSE 'mixed' END AS shape FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 5 GROUP BY 1")
+def consensus_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.operators import metadata
+
+    out = metadata.consensus_shape(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
+    return out.select("conv_id", F.coalesce("shape", F.lit("mixed")).alias("shape"))
+
+
+@register("SELECT o_orderkey, CASE WHEN trim(o_orderstatus) <> 'P' AND trim(o_orderstatus) <> '' THEN o_orderstatus ELSE 'fallback' END AS task FROM orders")
+def task_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.nullif(F.trim("o_orderstatus"), F.lit("P"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.nullif(named, F.lit("")), F.lit("fallback")).alias("task"))
+
+
+@register("WITH o AS (SELECT 'frame' AS status, l_orderkey AS episode_index FROM lineitem WHERE l_quantity > 48), t AS (SELECT status, count(*) AS total FROM o GROUP BY 1) SELECT count(*) AS errors, 0 AS warnings, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM o")
+def issue_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framewright.operators import validate
+
+    found = table(spark, sf_dir, "lineitem").where("l_quantity > 48").withColumnRenamed("l_orderkey", "episode_index")
+    out = validate.verdict(validate.issues(found, "frame", F.col("l_quantity")))
+    return out.select("errors", F.col("warnings").cast("int").alias("warnings"), "verdict")
