@@ -11,15 +11,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe, common, language_id, queries, secrets, simhash
+from framewright.llm import bpe, common, language_id, near_copies, queries, secrets
 
 #: A document is rejected if it has no letter, or if no language holds even so much of its n-grams; clean text in odd words stays.
 LEAST_SCORE = 0.01
 
+#: Bytes of an Arrow batch: executors still hold what earlier stages left in their heap and workers.
+SMALL = 2 << 20
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no known language. With no labelled document to learn from, only letterless ones go."""
-    common.bounded_batches(spark)
+    common.bounded_batches(spark, SMALL)
     filters = language_id.learn(language_id.training(docs))
     if not filters.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -28,19 +31,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each group of near copies, once; rows without a doc_id stay."""
-    common.bounded_batches(spark)
-    found = common.checkpointed(simhash.near_duplicates(docs).where("doc_id IS NOT NULL"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """Keeps one row of each group of near copies (Jaccard index of five-word shingles of at least 0.8): that of the least doc_id."""
+    common.bounded_batches(spark, SMALL)
+    rows = docs.withColumn("__row", near_copies.row_hash(docs))
+    found = common.checkpointed(near_copies.near_copies(rows, "__row"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__row")).alias("first")
+    kept = common.checkpointed(found.groupBy("component").agg(first).select("first.__row"))
+    mine = rows.join(kept, "__row", "left_semi")
+    # rows equal in every column share a key
+    again = common.checkpointed(found.join(kept, "__row", "left_semi").groupBy("__row").count().where("count > 1").select("__row"))
+    if again.isEmpty():
+        return mine.select(*docs.columns)
+    once = mine.join(again, "__row", "left_anti").unionByName(mine.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
+    return once.select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document; findings in its text are replaced by their kind."""
-    common.bounded_batches(spark)
+    common.bounded_batches(spark, SMALL)
     return secrets.redacted(docs)
 
 
@@ -51,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    common.bounded_batches(spark)
+    common.bounded_batches(spark, 4 * SMALL)
     return bpe.round_trip(docs, queries.tokenizer("byte_bpe_50k.json"))
 
 
