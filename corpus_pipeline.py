@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from framewright.llm import bpe, common, language_id, near_copies, queries, secrets
 
 #: A document is rejected if it has no letter, or if no language holds even so much of its n-grams; clean text in odd words stays.
-LEAST_SCORE = 0.01
+#: With fewer n-grams than that, some five words, there is too little to judge by: such documents stay.
+LEAST_SCORE, LEAST_GRAMS = 0.01, 32
 
 #: Bytes of an Arrow batch: executors still hold what earlier stages left in their heap and workers.
 SMALL = 2 << 20
@@ -26,8 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     filters = language_id.learn(language_id.training(docs))
     if not filters.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language_id.identify(docs, filters, lang_pred="__lang", score="__score")
-    return found.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    return language_id.recognized(docs, filters, "text", LEAST_SCORE, LEAST_GRAMS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

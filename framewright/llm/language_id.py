@@ -167,3 +167,17 @@ def identify(df: DataFrame, filters: Filters, text: str = "text", lang_pred: str
 def training(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows to learn from: CRC-32 of the key's text, modulo 4, isn't 2."""
     return df.where(F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4, F.lit(0)) != 2)
+
+
+def recognized(df: DataFrame, filters: Filters, text: str, least_score: float, least_grams: int) -> DataFrame:
+    """The rows whose text has a letter and, where it has `least_grams` n-grams to judge by, a score of `least_score` in some language."""
+    shared = df.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text)).to_pylist()
+            total, found = shared.value.hits(texts)
+            lettered = np.array([t is not None and LETTER.search(t) is not None for t in texts], bool)
+            yield b.filter(pa.array(lettered & ((total < least_grams) | (found.max(1, initial=0) >= least_score * total))))
+
+    return df.mapInArrow(run, df.schema)

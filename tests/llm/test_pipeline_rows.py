@@ -158,3 +158,9 @@ def test_near_copies(spark, tmp_path):
     assert collections.Counter(map(tuple, corpus_pipeline.drop_near_copies(spark, docs, "").collect())) == collections.Counter(want)
     blank = spark.createDataFrame([], SCHEMA)
     assert corpus_pipeline.drop_near_copies(spark, blank, "").count() == 0
+
+
+def test_texts_too_short_to_judge_stay(spark, tmp_path):
+    docs = written(spark, table(), tmp_path)
+    got = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert {503, 504} <= got and not {500, 501, 502, 512} & got
