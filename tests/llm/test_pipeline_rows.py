@@ -150,6 +150,13 @@ def written(spark, rows, path):
     return spark.read.parquet(f"{path}/documents.parquet")
 
 
+def test_run(spark, tmp_path):
+    rows = table()
+    written(spark, rows, tmp_path)
+    want = encoded(mixed([(r[0], redacted(r[1]), *r[2:]) for r in without_near_copies(known(rows))]))
+    assert collections.Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == collections.Counter(want)
+
+
 def test_near_copies(spark, tmp_path):
     rows = [r for r in table() if r[1]]
     docs = written(spark, rows, tmp_path)
