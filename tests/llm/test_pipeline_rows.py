@@ -167,6 +167,13 @@ def test_near_copies(spark, tmp_path):
     assert corpus_pipeline.drop_near_copies(spark, blank, "").count() == 0
 
 
+def test_one_row_of_each_text_stays(spark, tmp_path):
+    """A doc_id of two texts, and copies without one."""
+    rows = [(1, prose(1, 60), "en", "a", 1), (2, edited(prose(1, 60), [0]), "en", "a", 1), (2, prose(2, 60), "en", "a", 1), (None, prose(1, 60), "en", "a", 1), (None, prose(3, 60), None, "a", 1), (None, prose(3, 60), "a", None, 1), (None, prose(4, 60), "en", "a", 1)]
+    got = corpus_pipeline.drop_near_copies(spark, written(spark, rows + rows[2:3] + rows[-1:], tmp_path), "").collect()
+    assert sorted(r.text for r in got) == sorted(prose(k, 60) for k in (1, 2, 3, 4))
+
+
 def test_texts_too_short_to_judge_stay(spark, tmp_path):
     docs = written(spark, table(), tmp_path)
     got = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
