@@ -3,8 +3,9 @@
 Strong patterns (assignments, access identifiers, hexadecimal runs) are reported by themselves. Weak
 candidates, an account name, a random-looking value or an endpoint, are no finding alone: within a
 scope (a paragraph) candidates are joined by interval, each one's span widened by REACH on either
-side, and a weak one is reported only if a secret meets an identifier or endpoint there. The join
-runs over sorted positions, so many candidates of one document never become all pairs.
+side, and a weak one is reported only if a secret meets an identifier or endpoint there, or lies in
+the userinfo part of an endpoint. The join runs over sorted positions, so many candidates of one
+document never become all pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ that are long enough
 SCOPE = re.compile(r"\n[ \t\r]*\n")
 ACCOUNT = re.compile(r"(?:user(?:name)?|login|account|client_id)[\"']?\x20*[:=]\x20*[\"']?([\w.@+-]{3,})", re.I | re.A)
 ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\s\"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}:\d{2,5}\b", re.A)
+USERINFO = re.compile(r"[a-z]+:(//[^/?#@]*(?:@[^/?#@]*)*)@", re.I)
 RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*\d)(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 KINDS = {"assign": 0, "access": 1, "hex": 2, "weak_account": 3, "weak_secret": 4, "weak_endpoint": 5}
 REACH = 200
@@ -39,6 +41,19 @@ def base_spans(text: str) -> list[Span]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
+def within_endpoints(text: str, weak: list[Span]) -> set[Span]:
+    """Random-looking values in the userinfo part of an endpoint (scheme://user:value@host), and these endpoints."""
+    secrets = sorted(x for x in weak if x[0] == "weak_secret")
+    starts = [x[1] for x in secrets]
+    found: set[Span] = set()
+    for x in weak:
+        if x[0] == "weak_endpoint" and (m := USERINFO.match(text, x[1], x[2])):
+            # a value right behind the scheme takes the slashes in
+            mine = [y for y in secrets[bisect_left(starts, m.start(1)) : bisect_left(starts, m.end(1))] if y[2] <= m.end(1)]
+            found.update([x, *mine] if mine else [])
+    return found
+
+
 def linked(text: str, strong: list[Span]) -> list[Span]:
     """Weak candidates whose complementary part lies within reach in their scope."""
     weak: list[Span] = []
@@ -56,13 +71,18 @@ def linked(text: str, strong: list[Span]) -> list[Span]:
     taken = sorted((s, e) for _, s, e in strong)
     ends = list(accumulate((e for _, e in taken), max))
 
+    by_end = {id(side): sorted((e, s) for s, e in side) for side in (values, others)}
+
     def meets(span: Span, side: list[tuple[int, int]]) -> bool:
-        k, s, e = span
-        # spans of one side are disjoint but for a few, so starts within reach, or the one before them, decide
-        i = max(0, bisect_left(side, (s - REACH, 0)) - 1)
-        while i < len(side) and side[i][0] <= e + REACH:
-            a, b = side[i]
-            if b >= s - REACH and (b <= s or a >= e) and scope(a) == scope(s):
+        _, s, e = span
+        # of those behind, the nearest start decides; of those before, any whose end is within reach, nested ones too
+        i = bisect_left(side, (e, 0))
+        if i < len(side) and side[i][0] <= e + REACH and scope(side[i][0]) == scope(s):
+            return True
+        ends_of = by_end[id(side)]
+        i = bisect_left(ends_of, (s - REACH, 0))
+        while i < len(ends_of) and ends_of[i][0] <= s:
+            if scope(ends_of[i][1]) == scope(s):
                 return True
             i += 1
         return False
@@ -72,7 +92,8 @@ def linked(text: str, strong: list[Span]) -> list[Span]:
         return k > 0 and ends[k - 1] > span[1]
 
     kept = [x for x in weak if not inside(x)]
-    return [x for x in kept if meets(x, others if x[0] == "weak_secret" else values)]
+    own = within_endpoints(text, kept)
+    return [x for x in kept if x in own or meets(x, others if x[0] == "weak_secret" else values)]
 
 
 def written(spans: list[Span]) -> str:
