@@ -8,6 +8,7 @@ are window expressions over that sort. No range join and no collect.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,8 +83,11 @@ def resample(samples: DataFrame, grid: DataFrame, keys: list[str], policy: str =
     w = Window.partitionBy(EPISODE, KEY).orderBy("ts_ns", "is_grid", "seq")
     sample = F.when(F.col("is_grid") == 0, F.struct("ts_ns", "value"))
     both = rows.unionByName(points).withColumn("before", F.last(sample, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # the first sample after a frame: read from the other end, the same sort serves both frames
-    both = both.withColumn("after", F.first(sample, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    if policy == "hold":  # what comes after only counts before the first sample: that one, for the whole key
+        after = F.first(sample, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    else:  # a frame that grows: one that shrinks towards the end would be read anew for every row
+        after = F.last(sample, True).over(Window.partitionBy(EPISODE, KEY).orderBy(F.desc("ts_ns"), F.desc("is_grid"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("after", after)
     t, b, a = F.col("ts_ns"), F.col("before"), F.col("after")
     if policy == "hold":
         chosen = F.when(b.isNotNull(), b).when(a["ts_ns"] - t <= tolerance_ns, a)
@@ -95,15 +99,15 @@ def resample(samples: DataFrame, grid: DataFrame, keys: list[str], policy: str =
 
 
 def widen(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a frame, one column a key; the keys are configured, so no pivot job looks for them."""
-    return frames.groupBy(EPISODE, "frame_index").agg(*[F.first(F.when(F.col(KEY) == k, F.col("value")), True).alias(k) for k in keys])
+    """One row a frame, one column a key; the keys are configured, so no pivot job looks for them.
+
+    Rows are shuffled by episode, which also serves what follows by episode, such as trimming."""
+    return frames.repartition(EPISODE).groupBy(EPISODE, "frame_index").agg(*[F.first(F.when(F.col(KEY) == k, F.col("value")), True).alias(k) for k in keys])
 
 
 def trim_to_valid(wide: DataFrame, required: list[str]) -> DataFrame:
     """Cut the frames before the first and after the last in which all required keys are there; renumber from 0. Gaps inside stay."""
-    ok = F.lit(True)
-    for k in required:
-        ok = ok & F.col(k).isNotNull()
+    ok = reduce(lambda a, k: a & F.col(k).isNotNull(), required, F.lit(True))
     w = Window.partitionBy(EPISODE)
     ends = wide.withColumn("lo", F.min(F.when(ok, F.col("frame_index"))).over(w)).withColumn("hi", F.max(F.when(ok, F.col("frame_index"))).over(w))
     return ends.where("frame_index BETWEEN lo AND hi").withColumn("frame_index", F.col("frame_index") - F.col("lo")).drop("lo", "hi")

@@ -37,6 +37,12 @@ def target_rate(images: list[float], states: list[float]) -> int:
     return max(1, round(min(images)) if images else round(statistics.median(states)) if states else 30)
 
 
+def target_rates(rates: DataFrame, by: str) -> DataFrame:
+    """target_rate() of many recordings: (by, target) of rows (by, fps, is_image)."""
+    image, state = F.min(F.when(F.col("is_image"), F.col("fps"))), F.percentile(F.when(~F.col("is_image"), F.col("fps")), F.lit(0.5))
+    return rates.groupBy(by).agg(F.greatest(F.lit(1.0), F.coalesce(F.rint(image), F.rint(state), F.lit(30.0))).cast("long").alias("target"))
+
+
 def config_verdict(found: DataFrame, config: Conversion, strict: bool = False) -> dict:
     """Missing, unused and mistyped topics of a configuration, and whether it fails."""
     have = {r.topic: (r.msg_type or "").replace("/msg/", "/") for r in found.collect()}  # one row a topic

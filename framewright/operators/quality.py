@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def null_counts(dims: DataFrame, by: list[str]) -> DataFrame:
-    """Values, nulls and NaN of exploded vectors."""
-    return dims.groupBy(*by).agg(F.count("*").alias("n_values"), F.count_if(F.col("v").isNull()).alias("n_null"), F.count_if(F.isnan("v")).alias("n_nan"))
+def null_counts(frames: DataFrame, by: list[str], vector: str) -> DataFrame:
+    """Values in all vectors, frames without a vector, and NaN or null elements. Counted on whole frames: nothing is exploded."""
+    v = F.col(vector)
+    bad = F.size(F.filter(v, lambda x: x.isNull() | F.isnan(x.cast("double"))))
+    counts = {"n_values": F.when(v.isNotNull(), F.size(v)), "n_null": v.isNull().cast("int"), "n_nan": F.when(v.isNotNull(), bad)}
+    return frames.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for n, c in counts.items()])
 
 
 def out_of_range(dims: DataFrame, bounds: DataFrame, on: list[str], by: list[str], tolerance: float = 0.0) -> DataFrame:
@@ -33,11 +36,17 @@ def freeze_pairs(frames: DataFrame, by: list[str], order: str, vector: str, eps:
     return pairs.groupBy(*by).agg(F.count("*").alias("pairs"), F.count_if(deviation(F.col(vector), F.col("before")) <= eps).alias("frozen"))
 
 
-def score(rates: DataFrame) -> DataFrame:
-    """1 - clamp(0.5 null + 0.3 out of range + 0.2 frozen), each the plain mean over features; below 0.95 fails."""
+def score(rates: DataFrame, videos: DataFrame | None = None, least: float = 0.95) -> DataFrame:
+    """1 - clamp(0.5 null + 0.3 out of range + 0.2 frozen), each the plain mean over features; below `least` fails.
+
+    So does any file of `videos`, as reconcile() gives them, that has more or fewer frames than expected."""
     worst = 0.5 * F.avg("null_rate") + 0.3 * F.avg("oor_rate") + 0.2 * F.avg("freeze_rate")
     out = rates.agg((1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), worst))).alias("score"))
-    return out.withColumn("verdict", F.when(F.col("score") < 0.95, "FAIL").otherwise("PASS"))
+    bad = F.col("score") < least
+    if videos is not None:
+        out = out.crossJoin(videos.agg(F.count_if(F.col("mismatch") != 0).alias("mismatched")))  # one row by one row
+        bad = bad | (F.col("mismatched") > 0)
+    return out.withColumn("verdict", F.when(bad, "FAIL").otherwise("PASS"))
 
 
 def reconcile(expected: DataFrame, probe: DataFrame, on: list[str]) -> DataFrame:

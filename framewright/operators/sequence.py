@@ -31,6 +31,12 @@ def min_length(rows: DataFrame, least: int) -> DataFrame:
     return numbered.select(EPISODE, "length", (F.col("__n") - 1).cast("long").alias("new_index"))
 
 
+def first_episodes(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of the first `most` episodes, which are a top-k of distinct numbers, not a sort of all."""
+    first = rows.select(EPISODE).distinct().orderBy(EPISODE).limit(most)
+    return rows.join(first, EPISODE, "left_semi")
+
+
 def global_index(lengths: DataFrame) -> DataFrame:
     """dataset_from_index and dataset_to_index of every episode."""
     out = running(lengths, "length", "dataset_to_index")
@@ -59,7 +65,8 @@ def dictionary(rows: DataFrame, value: str, order: str) -> DataFrame:
 
 
 def episode_tasks(rows: DataFrame, value: str, names: DataFrame) -> DataFrame:
-    return rows.join(F.broadcast(names), value).groupBy(EPISODE).agg(F.array_join(F.transform(F.array_sort(F.collect_set("task_index")), lambda x: x.cast("string")), ",").alias("tasks"))
+    """The task indices of each episode, in order. Whether the names are broadcast is left to the session's size limit."""
+    return rows.join(names, value).groupBy(EPISODE).agg(F.array_join(F.transform(F.array_sort(F.collect_set("task_index")), lambda x: x.cast("string")), ",").alias("tasks"))
 
 
 def span_table(spark: SparkSession, spans: list[tuple[float, float, str]]) -> DataFrame:

@@ -9,8 +9,9 @@ QUANTILES = (0.01, 0.10, 0.50, 0.90, 0.99)
 BINS = 5000
 
 
-def explode_dims(df: DataFrame, by: list[str], vector: str) -> DataFrame:
-    return df.select(*by, F.posexplode(vector).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
+def explode_dims(df: DataFrame, by: list[str], vector: str, outer: bool = False) -> DataFrame:
+    """One row (by, dim, v) an element; `outer` also gives one with null dim and v for a null or empty vector."""
+    return df.select(*by, (F.posexplode_outer if outer else F.posexplode)(vector).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
 
 
 def feature_stats(dims: DataFrame, by: list[str]) -> DataFrame:

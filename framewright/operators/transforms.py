@@ -14,14 +14,16 @@ def nearest_edge(grid: DataFrame, edge: DataFrame, name: str) -> DataFrame:
     """Add the pose of an edge (episode_index, stamp_ns, seq, parts) nearest to each grid_ns as struct `name`.
 
     Equally near stamps: the earlier; before the first and after the last that one, however far; of
-    equal stamps the first. One union, one shuffle, one sort, as in resampling."""
+    equal stamps the first. One union, one shuffle and a sort each way, as in resampling."""
     pose = F.struct("stamp_ns", *PARTS)
     keep = [c for c in grid.columns if c not in ("episode_index", "grid_ns")]
     rows = edge.select("episode_index", F.col("stamp_ns").alias("t"), F.lit(1).alias("is_pose"), F.col("seq"), pose.alias("pose"), *[F.lit(None).cast(grid.schema[c].dataType).alias(c) for c in keep])
     points = grid.select("episode_index", F.col("grid_ns").alias("t"), F.lit(0).alias("is_pose"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast(rows.schema["pose"].dataType).alias("pose"), *keep)
     # poses at the same time come after the point, so the first of them is the next one; earlier ones count back from the last
     w = Window.partitionBy("episode_index").orderBy("t", "is_pose", "seq")
-    both = rows.unionByName(points).withColumn("before", F.last("pose", True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first("pose", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    back = Window.partitionBy("episode_index").orderBy(F.desc("t"), F.desc("is_pose"), F.desc("seq"))
+    ends = {"before": F.last("pose", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "after": F.last("pose", True).over(back.rowsBetween(Window.unboundedPreceding, -1))}
+    both = rows.unionByName(points).withColumns(ends)
     b, a, t = F.col("before"), F.col("after"), F.col("t")
     pick = F.when(a.isNull() | (t - b["stamp_ns"] <= a["stamp_ns"] - t), b).otherwise(a)
     return both.where("is_pose = 0").select("episode_index", t.alias("grid_ns"), *keep, pick.alias(name))

@@ -222,9 +222,13 @@ def head_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.head_intervals(messages(spark, sf_dir), ["episode_index", "topic"], 5), "dt_ms", digits=3)
 
 
-@register(f"WITH {E64} SELECT episode_index, count(*) AS n_values, count(*) FILTER (v IS NULL) AS n_null, count(*) FILTER (isnan(v)) AS n_nan FROM e GROUP BY 1")
+HOLED = "n AS (SELECT label AS episode_index, CASE WHEN vec_id % 11 <> 0 THEN embedding END AS v FROM embeddings), nulls AS (SELECT episode_index, CAST(coalesce(sum(len(v)), 0) AS BIGINT) AS n_values, count(*) FILTER (v IS NULL) AS n_null, CAST(coalesce(sum(len(list_filter(v, lambda x: isnan(x)))), 0) AS BIGINT) AS n_nan FROM n GROUP BY 1)"
+
+
+@register(f"WITH {HOLED} SELECT * FROM nulls")
 def quality_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.null_counts(dims(spark, sf_dir), ["episode_index"])
+    holed = table(spark, sf_dir, "embeddings").select(F.col("label").alias("episode_index"), F.when(F.col("vec_id") % 11 != 0, F.col("embedding")).alias("v"))
+    return quality.null_counts(holed, ["episode_index"], "v")
 
 
 BOUNDS = "bounds AS (SELECT dim, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM e GROUP BY 1)"
@@ -256,12 +260,19 @@ def freeze_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frozen(spark, sf_dir)
 
 
-@register(f"{OOR}, {FREEZE}, r AS (SELECT 0.0 AS null_rate, n_oor / n_values AS oor_rate, frozen / pairs AS freeze_rate FROM o JOIN z USING (episode_index)), s1 AS (SELECT 1 - least(1.0, greatest(0.0, 0.5 * avg(null_rate) + 0.3 * avg(oor_rate) + 0.2 * avg(freeze_rate))) AS score FROM r) SELECT round(score, 6) AS score, CASE WHEN score < 0.95 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM s1")
-def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nulls = quality.null_counts(dims(spark, sf_dir), ["episode_index"]).select("episode_index", ((F.col("n_null") + F.col("n_nan")) / F.col("n_values")).alias("null_rate"))
+SCORE = f"{OOR}, {FREEZE}, {HOLED}, r AS (SELECT (n_null + n_nan) / nulls.n_values AS null_rate, n_oor / o.n_values AS oor_rate, frozen / pairs AS freeze_rate FROM o JOIN z USING (episode_index) JOIN nulls USING (episode_index)), s1 AS (SELECT 1 - least(1.0, greatest(0.0, 0.5 * avg(null_rate) + 0.3 * avg(oor_rate) + 0.2 * avg(freeze_rate))) AS score FROM r)"
+
+
+def quality_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nulls = quality_nulls(spark, sf_dir).select("episode_index", ((F.col("n_null") + F.col("n_nan")) / F.col("n_values")).alias("null_rate"))
     oor = quality_oor(spark, sf_dir).select("episode_index", (F.col("n_oor") / F.col("n_values")).alias("oor_rate"))
     still = frozen(spark, sf_dir).select("episode_index", (F.col("frozen") / F.col("pairs")).alias("freeze_rate"))
-    return rounded(quality.score(nulls.join(oor, "episode_index").join(still, "episode_index")), "score")
+    return nulls.join(oor, "episode_index").join(still, "episode_index")
+
+
+@register(f"{SCORE} SELECT round(score, 6) AS score, CASE WHEN score < 0.95 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM s1")
+def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(quality.score(quality_rates(spark, sf_dir)), "score")
 
 
 L = "l AS (SELECT l_orderkey AS episode_index, l_linenumber AS frame_index, l_quantity AS q, l_returnflag AS task, epoch_us(l_shipdate) / 1e6 AS t, l_orderkey * 8 + l_linenumber AS gi FROM lineitem), len AS (SELECT episode_index, count(*) AS length FROM l GROUP BY 1)"
@@ -285,9 +296,9 @@ def global_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.global_index(lengths(spark, sf_dir))
 
 
-@register(f"WITH {L} SELECT episode_index FROM len WHERE episode_index < 100")
+@register(f"WITH {L}, first AS (SELECT episode_index FROM len ORDER BY 1 LIMIT 100) SELECT episode_index, count(*) AS n FROM l JOIN first USING (episode_index) GROUP BY 1")
 def max_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lengths(spark, sf_dir).where("episode_index < 100").select("episode_index")
+    return sequence.first_episodes(lines(spark, sf_dir), 100).groupBy("episode_index").agg(F.count("*").alias("n"))
 
 
 @register("WITH n AS (SELECT count(*) AS n FROM orders), i AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) SELECT o_orderkey AS episode_index, CASE WHEN k < round_even(0.7 * n, 0) THEN 'train' WHEN k < round_even(0.7 * n, 0) + least(round_even(0.15 * n, 0), n - round_even(0.7 * n, 0)) THEN 'val' ELSE 'test' END AS split FROM i, n")
@@ -390,6 +401,11 @@ def video_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.reconcile(expected, probe, ["file_index"])
 
 
+@register(f"{SCORE}, {OFFSETS}, x AS (SELECT file_index, sum(length) AS expected FROM off GROUP BY 1), y AS (SELECT count(*) FILTER (file_index % 5 = 4 OR file_index % 3 <> 0) AS mismatched FROM x) SELECT round(score, 6) AS score, mismatched, CASE WHEN score < 0.5 OR mismatched > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM s1, y")
+def quality_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(quality.score(quality_rates(spark, sf_dir), video_reconciliation(spark, sf_dir), 0.5), "score")
+
+
 @register("SELECT o_orderpriority AS worker, count(*) FILTER (o_orderstatus <> 'P') AS succeeded, count(*) FILTER (o_orderstatus = 'P') AS failed, CAST(sum(CASE WHEN o_orderstatus <> 'P' THEN o_custkey % 100 ELSE 0 END) AS BIGINT) AS frames FROM orders GROUP BY 1")
 def job_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "worker")
@@ -441,10 +457,13 @@ def pose_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", *[F.round(c, 6).alias(n) for c, n in zip(t, "xyz", strict=True)])
 
 
-@register("SELECT o_orderpriority AS rate_class, round(median(o_totalprice), 6) AS median_rate, CAST(greatest(1, round_even(median(o_totalprice), 0)) AS BIGINT) AS target FROM orders GROUP BY 1")
+@register("SELECT o_orderpriority AS recording, CAST(greatest(1, coalesce(round_even(min(o_totalprice / 1000) FILTER (o_orderstatus = 'P'), 0), round_even(median(o_totalprice / 1000) FILTER (o_orderstatus <> 'P'), 0), 30)) AS BIGINT) AS target FROM orders WHERE o_orderstatus <> 'P' OR o_orderpriority < '3' GROUP BY 1")
 def target_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("rate_class")).agg(F.percentile("o_totalprice", F.lit(0.5)).alias("m"))
-    return m.select("rate_class", F.round("m", 6).alias("median_rate"), F.greatest(F.lit(1), F.rint("m").cast("long")).cast("long").alias("target"))
+    from framewright.operators import metadata
+
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P' OR o_orderpriority < '3'")
+    rates = o.select(F.col("o_orderpriority").alias("recording"), (F.col("o_totalprice") / 1000).alias("fps"), (F.col("o_orderstatus") == "P").alias("is_image"))
+    return metadata.target_rates(rates, "recording")
 
 
 TF = "p AS (SELECT user_id AS episode_index, epoch_us(ts) * 1000 AS stamp_ns, event_id AS seq, value AS tx FROM events WHERE event_type = 'signup')"
@@ -478,10 +497,13 @@ def consensus_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", F.coalesce("shape", F.lit("mixed")).alias("shape"))
 
 
-@register("SELECT o_orderkey, CASE WHEN trim(o_orderstatus) <> 'P' AND trim(o_orderstatus) <> '' THEN o_orderstatus ELSE 'fallback' END AS task FROM orders")
+@register("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 AND trim(substr(c_name, 1, c_custkey % 7)) <> '' THEN substr(c_name, 1, c_custkey % 7) WHEN c_nationkey % 2 = 0 THEN 'option' ELSE 'configured' END AS task FROM customer")
 def task_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = F.nullif(F.trim("o_orderstatus"), F.lit("P"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(F.nullif(named, F.lit("")), F.lit("fallback")).alias("task"))
+    from framewright.sources import sidecars
+
+    sidecar = F.expr("CASE WHEN c_custkey % 3 <> 0 THEN substr(c_name, 1, CAST(c_custkey % 7 AS INT)) END")
+    option = F.when(F.col("c_nationkey") % 2 == 0, "option")
+    return table(spark, sf_dir, "customer").select("c_custkey", sidecars.resolved_task(sidecar, option, F.lit("configured")).alias("task"))
 
 
 @register("WITH o AS (SELECT 'frame' AS status, l_orderkey AS episode_index FROM lineitem WHERE l_quantity > 48), t AS (SELECT status, count(*) AS total FROM o GROUP BY 1) SELECT count(*) AS errors, 0 AS warnings, CASE WHEN count(*) > 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM o")

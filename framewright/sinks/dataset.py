@@ -46,7 +46,7 @@ def write(frames: DataFrame, path: str, features: Mapping[str, int], fps: float,
     names = sequence.dictionary(frames.withColumn("__at", F.struct("episode_index", "frame_index")), task, "__at")
     nan = F.lit(float("nan")).cast("float")
     vectors = [F.coalesce(F.col(k).cast("array<float>"), F.array_repeat(nan, n)).alias(k) for k, n in features.items()]
-    rows = frames.join(named.select("episode_index", "new_index"), "episode_index").join(F.broadcast(names), task, "left")
+    rows = frames.join(named.select("episode_index", "new_index"), "episode_index").join(names, task, "left")
     rows = rows.select(F.col("new_index").alias("episode_index"), "frame_index", "task_index", *vectors).join(index, "episode_index")
     rows = rows.select((F.col("dataset_from_index") + F.col("frame_index")).alias("index"), (F.col("frame_index") / F.lit(float(fps))).cast("float").alias("timestamp"), F.col("frame_index").cast("long").alias("frame_index"), "episode_index", F.col("task_index").cast("long").alias("task_index"), *features, F.expr(f"dataset_from_index div {frames_per_file}").alias("__file"), "dataset_from_index")
     schema = pa.schema([*[(n, pa.float32() if n == "timestamp" else pa.int64()) for n in ORDER], *[(k, pa.list_(pa.float32(), n)) for k, n in features.items()]])

@@ -9,7 +9,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class SidecarError(ValueError):
@@ -51,6 +52,12 @@ def resolve_task(sidecar: str | None, option: str | None, configured: str) -> st
     return next((t for t in (sidecar, option) if t and t.strip()), configured)
 
 
+def resolved_task(sidecar: Column, option: Column, configured: Column) -> Column:
+    """resolve_task() for columns."""
+    stated = lambda c: F.when(F.regexp_like(c, F.lit(r"\S")), c)
+    return F.coalesce(stated(sidecar), stated(option), configured)
+
+
 def bag_digest(path: str) -> str:
     """SHA-256 over the names and bytes of a bag's files in order of name, without metadata.yaml."""
     out = hashlib.sha256()

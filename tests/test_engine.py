@@ -5,6 +5,7 @@ import os
 import random
 import sqlite3
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -49,6 +50,27 @@ def test_resample_with_ties(spark, policy):
             assert [rows[e, k, f] for f in range(14)] == want
 
 
+@pytest.mark.parametrize("policy", ["hold", "nearest"])
+def test_resample_of_a_long_key_is_linear(spark, policy):
+    n = 200_000
+    one = lambda *c: spark.range(n).select(F.lit(0).cast("long").alias("episode_index"), *c)
+    samples = one(F.lit("a").alias("feature_key"), (F.col("id") * 10).alias("ts_ns"), F.col("id").alias("seq"), F.col("id").cast("double").alias("value"))
+    got = align.resample(samples, one(F.col("id").alias("frame_index"), (F.col("id") * 10 + 7).alias("grid_ns")), ["a"], policy, 5)
+    began = time.time()
+    x = got.agg(F.count("value").alias("n"), F.sum("value").alias("v"), F.sum(F.abs(F.col("src_ns") - F.col("grid_ns"))).alias("off")).first()
+    assert time.time() - began < 60  # a frame read anew for every row took minutes for a tenth of this
+    assert (x.n, x.v, x.off) == ((n, n * (n - 1) / 2, 7 * n) if policy == "hold" else (n - 1, n * (n - 1) / 2, 3 * (n - 1)))
+
+
+def test_nulls_count_as_rows_and_elements(spark):
+    rows = [(0, [1.0, float("nan")]), (0, None), (0, [None, 2.0]), (1, None), (1, [])]
+    got = quality.null_counts(spark.createDataFrame(rows, "e long, v array<double>"), ["e"], "v").orderBy("e").collect()
+    assert [(x.n_values, x.n_null, x.n_nan) for x in got] == [(4, 1, 2), (0, 1, 0)]
+    rates = spark.createDataFrame([(0.0, 0.0, 0.0)], "null_rate double, oor_rate double, freeze_rate double")
+    videos = spark.createDataFrame([(0,), (-1,)], "mismatch long")
+    assert [quality.score(rates, v).first().verdict for v in (None, videos.limit(1), videos)] == ["PASS", "PASS", "FAIL"]
+
+
 def test_required_window_and_grid(spark):
     ms = 1_000_000
     data = [(0, "a", t * ms, t, 1.0) for t in range(0, 1001, 100)] + [(0, "b", t * ms, t, 1.0) for t in range(300, 701, 100)] + [(1, "a", 0, 0, 1.0)]
