@@ -38,12 +38,12 @@ def share(nodes: DataFrame, parent: list[str], node: list[str], weight: Column)
     w = nodes.withColumn("w", weight.cast(NUMBER)).withColumn("c", F.col("capacity").cast(NUMBER)).withColumn("up", F.col("up").cast(NUMBER))
     order = [F.when(F.col("w") > 0, 0).otherwise(1), F.col("c").cast("double") / F.greatest(F.col("w"), F.lit(1)).cast("double"), *map(F.col, node)]
     by = Window.partitionBy(*parent).orderBy(*order)
-    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
-    w = w.withColumn("c_before", F.coalesce(F.sum("c").over(before), F.lit(0)).cast(NUMBER)).withColumn("w_after", F.sum("w").over(after).cast(NUMBER))
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    w = w.withColumn("c_before", sum_before("c").cast(NUMBER)).withColumn("w_after", (F.sum("w").over(Window.partitionBy(*parent)) - sum_before("w")).cast(NUMBER))
     left = F.greatest(F.col("up") - F.col("c_before"), F.lit(0).cast(NUMBER)).cast(NUMBER)
     w = w.withColumn("full", F.expr("w > 0") & ((left * F.col("w")).cast(NUMBER) >= (F.col("c") * F.col("w_after")).cast(NUMBER)))
     # filled children are a prefix of the order; the rest share what is left beyond the prefix
-    # filled children are a prefix of the order; the rest share what is left beyond the prefix
     w = w.withColumn("k", F.row_number().over(by))
     first_open = F.min(F.when(~F.col("full"), F.struct("k", F.col("c_before").alias("used"), F.col("w_after").alias("w_open"))))
     w = w.withColumn("some_open", first_open.over(Window.partitionBy(*parent)))
