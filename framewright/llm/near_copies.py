@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.llm import simhash
-from framewright.llm.common import checkpointed
+from framewright.llm.common import checkpointed, key_filter, split_by
 from framewright.llm.components import components
 
 SHINGLE = 5
@@ -78,10 +78,12 @@ def common_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]
 
 
 def sketches(docs: DataFrame, row: str, key: str, text: str) -> DataFrame:
-    """(row, key, set, fp, n, prefix) of every row: the set's hash, SimHash and size, and its first shingles."""
+    """(row, key, set, fp, n, prefix) of every row: the set's hash, SimHash and size, and half the hash of its first shingles.
+
+    Shingles that agree in that half alone can only add candidates."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text))
     long = T.LongType()
-    schema = T.StructType([T.StructField(row, long), T.StructField(key, docs.schema[key].dataType), *(T.StructField(c, long) for c in ("set", "fp", "n")), T.StructField("prefix", T.ArrayType(long))])
+    schema = T.StructType([T.StructField(row, long), T.StructField(key, docs.schema[key].dataType), *(T.StructField(c, long) for c in ("set", "fp", "n")), T.StructField("prefix", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -96,7 +98,7 @@ def sketches(docs: DataFrame, row: str, key: str, text: str) -> DataFrame:
             none = [np.array([], np.uint64)]
             sets = np.array([s for s, _ in found], np.uint64).view(np.int64)
             offsets = np.cumsum([0, *map(len, firsts)])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(none + firsts).view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(none + firsts).astype(np.uint32).view(np.int32)))
             fp = np.concatenate(none + fps).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets), pa.array(fp), pa.array([n for _, n in found], pa.int64()), lists], schema.names)
 
@@ -107,7 +109,8 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, row: str, text:
     """The pairs (u, v) of sets that are similar. rows: (row, set), one row a set; its text is read again."""
     pairs = checkpointed(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     named = pairs.select(F.col("u").alias("set")).union(pairs.select("v")).distinct()
-    texts = docs.select(row, text).join(rows.select(row, "set").join(named, "set").distinct(), row).select("set", text)
+    wanted = checkpointed(rows.select(row, "set").join(named, "set").distinct())
+    texts = split_by(docs.select(row, text), row, key_filter(wanted, row))[0].join(wanted, row).select("set", text)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
