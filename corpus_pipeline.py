@@ -37,13 +37,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = common.checkpointed(near_copies.near_copies(rows, "__row"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__row")).alias("first")
     kept = common.checkpointed(found.groupBy("component").agg(first).select("first.__row"))
-    mine = rows.join(kept, "__row", "left_semi")
     # rows equal in every column share a key
     again = common.checkpointed(found.join(kept, "__row", "left_semi").groupBy("__row").count().where("count > 1").select("__row"))
-    if again.isEmpty():
-        return mine.select(*docs.columns)
-    once = mine.join(again, "__row", "left_anti").unionByName(mine.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
-    return once.select(*docs.columns)
+    lost = found.join(kept, "__row", "left_anti").select("__row")
+    # only texts that may go, or are there several times, are shuffled
+    doubtful, clear = common.split_by(rows, "__row", common.key_filter(lost.unionByName(again), "__row"))
+    doubtful = doubtful.join(kept, "__row", "left_semi")
+    once = doubtful.join(again, "__row", "left_anti").unionByName(doubtful.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
+    return clear.unionByName(once).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
