@@ -4,12 +4,12 @@ One Bloom filter per language, bit-sliced: slot s of the table is a bitmask of t
 filter has bit s set, so the AND of the K slots of an n-gram is the set of all languages that
 contain it. A text's n-grams are looked up with K gathers; popcounts per language follow from a
 histogram of the masks. The share of false positives that the fill of a language's filter predicts
-is taken out, and the language with most remaining hits wins.
+is taken out, and the language with most remaining hits wins. Beyond 64 languages a slot has several
+masks.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LETTER = re.compile(r"[^\W\d_]")
 N = 4
+#: Rows that each language is learned from at most, and the share of a language's n-grams that one must
+#: make up to count as its own: rarer ones may come from wrong labels. It leaves 1 / LEAST_SHARE a language at most.
+DOCS_PER_LANG, LEAST_SHARE = 1500, 1e-4
 SLOT_BITS, HASHES = 20, 2
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Every ASCII character but letters ends a word.
@@ -51,6 +53,11 @@ def grams(texts: list[str | None], rows: np.ndarray | None = None) -> Iterator[t
         yield code[good], row[: len(code)][good]
 
 
+def lettered(text: str | None) -> bool:
+    """Whether a text has a letter (Unicode's category L; no digits, numerals or fractions)."""
+    return text is not None and any(map(str.isalpha, text))
+
+
 def slots(code: np.ndarray) -> list[np.ndarray]:
     h = code.astype(np.uint64) * ODD
     h ^= h >> np.uint64(29)
@@ -60,7 +67,7 @@ def slots(code: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """Bit-sliced filters of at most 64 languages."""
+    """Bit-sliced filters: masks of 8 bits, or of as many 64-bit words as the languages need."""
 
     langs: list[str]
     table: np.ndarray
@@ -69,14 +76,15 @@ class Filters:
     @staticmethod
     def of(grams_of: dict[str, np.ndarray]) -> Filters:
         langs = sorted(grams_of)
-        if len(langs) > 64:
-            raise ValueError("more than 64 languages don't fit one mask")
-        kind = np.uint8 if len(langs) <= 8 else np.uint64
-        table = np.zeros(1 << SLOT_BITS, kind)
+        kind, wide = (np.uint8, 8) if len(langs) <= 8 else (np.uint64, 64)
+        table = np.zeros((max(1, -(-len(langs) // wide)), 1 << SLOT_BITS), kind)
+        fill = np.zeros(len(langs))
         for k, lang in enumerate(langs):
+            bits = np.zeros(1 << SLOT_BITS, bool)
             for s in slots(grams_of[lang]):
-                table[np.unique(s)] |= kind(1 << k)
-        fill = np.array([((table >> kind(k)) & kind(1)).mean() for k in range(len(langs))])
+                bits[s] = True
+            table[k // wide][bits] |= kind(1 << k % wide)
+            fill[k] = bits.mean()
         return Filters(langs, table, fill**HASHES)
 
     def hits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,19 +97,18 @@ class Filters:
             row = row - first
             count = int(row[-1]) + 1
             a, *rest = slots(code)
-            mask = self.table[a]
-            for b in rest:
-                mask &= self.table[b]
-            if self.table.dtype == np.uint8:
-                width = 1 << len(self.langs)
-                by = np.bincount(row * width + mask, minlength=count * width).reshape(count, width)
-                has = (np.arange(width)[:, None] >> np.arange(len(self.langs))) & 1
-                found[first : first + count] += by @ has
-                total[first : first + count] += by.sum(1)
-            else:
-                total[first : first + count] += np.bincount(row, minlength=count)
-                for k in range(len(self.langs)):
-                    found[first : first + count, k] += np.bincount(row, (mask >> np.uint64(k)) & np.uint64(1), count)
+            part, width = found[first : first + count], 1 << min(8, len(self.langs))
+            for w, word in enumerate(self.table):
+                mask = word[a]
+                for b in rest:
+                    mask &= word[b]
+                if word.dtype == np.uint8:
+                    by = np.bincount(row * width + mask, minlength=count * width).reshape(count, width)
+                    part += by @ ((np.arange(width)[:, None] >> np.arange(len(self.langs))) & 1)
+                else:
+                    for k in range(64 * w, min(64 * w + 64, len(self.langs))):
+                        part[:, k] += np.bincount(row, (mask >> np.uint64(k % 64)) & np.uint64(1), count)
+            total[first : first + count] += np.bincount(row, minlength=count)
         return total, np.maximum(0, found - total[:, None] * self.false_rate) / np.maximum(1e-9, 1 - self.false_rate)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -109,19 +116,20 @@ class Filters:
         total, found = self.hits(texts)
         best = found.argmax(1) if self.langs else np.zeros(len(texts), int)
         score = np.clip(np.take_along_axis(found, best[:, None], 1)[:, 0] / np.maximum(total, 1), 0, 1) if self.langs else np.zeros(len(texts))
-        known = np.array([bool(self.langs) and t is not None and LETTER.search(t) is not None for t in texts], bool)
+        known = np.array([bool(self.langs) and lettered(t) for t in texts], bool)
         return [self.langs[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
 
 
-def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = 1500, grams_per_lang: int = 6000) -> Filters:
+def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, least_share: float = LEAST_SHARE) -> Filters:
     """Fit the filters on labelled rows.
 
     Reads the texts of at most `docs_per_lang` rows a language (those of the least xxhash64 of the
-    key), counts their n-grams in Spark and keeps each language's `grams_per_lang` most frequent
-    ones, ties to smaller codes. Only these bounded lists reach the driver. Rows whose language or
-    text is null are left out; an empty table gives filters without languages."""
+    key), counts their n-grams in Spark and keeps those that make up `least_share` of their language's,
+    so at most 1 / least_share. These lists and a row a language reach the driver; languages are a
+    vocabulary. Rows whose language or text is null are left out; an empty table gives filters
+    without languages."""
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().limit(65).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not sizes:
         return Filters.of({})
     # a hash threshold first leaves about twice the bound of each language, however large, for the exact ranking
@@ -140,7 +148,7 @@ def learn(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(np.array(n, np.int64))], ["lang", "gram", "n"])
 
     counts = chosen.mapInArrow(count, SCHEMA).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= grams_per_lang)
+    top = counts.withColumn("all", F.sum("n").over(Window.partitionBy("lang"))).where(F.col("n") >= least_share * F.col("all"))
     of: dict[str, list[int]] = {name: [] for name in sizes}
     for r in top.select("lang", "gram").collect():
         of[r.lang].append(r.gram)
@@ -177,7 +185,7 @@ def recognized(df: DataFrame, filters: Filters, text: str, least_score: float, l
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
             total, found = shared.value.hits(texts)
-            lettered = np.array([t is not None and LETTER.search(t) is not None for t in texts], bool)
-            yield b.filter(pa.array(lettered & ((total < least_grams) | (found.max(1, initial=0) >= least_score * total))))
+            letters = np.array([lettered(t) for t in texts], bool)
+            yield b.filter(pa.array(letters & ((total < least_grams) | (found.max(1, initial=0) >= least_score * total))))
 
     return df.mapInArrow(run, df.schema)

@@ -94,7 +94,8 @@ def order_of(key: Column, seed: int, epoch: Column) -> Column:
 
 
 def selected(df: DataFrame, leaves: DataFrame, levels: Mapping[str, Column], key: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """Rows of `df` once for each epoch that takes them, with column `epoch` (from 0). No other column changes.
+    """Rows of `df` once for each epoch that takes them, with column `epoch` (from 0). No other column changes:
+    where `df` has an `epoch` of its own, the new column's name gets an underscore.
 
     Whole epochs take every row, the next one the rows up to the leaf's cut. The plan has one row a
     leaf: up to LEAVES of them, which are counted, it is broadcast, so texts stay where they are;
@@ -108,4 +109,7 @@ def selected(df: DataFrame, leaves: DataFrame, levels: Mapping[str, Column], key
     within = F.coalesce((order < F.col("__cut")) | ((order == F.col("__cut")) & (F.coalesce(F.col(key).eqNullSafe(F.col("__cut_key")), F.lit(False)) | (F.col(key) < F.col("__cut_key")))), F.lit(False))
     taken = (F.col("__rest") > 0) & (F.col("__cut_bucket").isNull() | (bucket < F.col("__cut_bucket")) | ((bucket == F.col("__cut_bucket")) & within))
     copies = keyed.withColumn("__copies", F.col("__full") + F.when(taken, 1).otherwise(0)).where("__copies > 0")
-    return copies.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).select(*df.columns, "epoch")
+    name = "epoch"
+    while name in df.columns:
+        name += "_"
+    return copies.select(*df.columns, F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias(name))

@@ -299,7 +299,19 @@ def test_mixing(spark, docs, empty):
     for lang in caps:
         mine = {x.source: x.tokens * 3 for x in leaves if x.lang == lang}
         assert {x.source: x.budget for x in leaves if x.lang == lang} == brute_share(top[lang], mine, dict.fromkeys(mine, 1))
+    assert mixing.selected(docs.withColumn("epoch", F.lit(-7)), plan, levels).select("epoch").distinct().first() == (-7,)
     taken = mixing.selected(docs.drop("epoch"), plan, levels).withColumn("n", size).collect()
+    for x in leaves:  # whole epochs, then the prefix of the seeded order that fits the rest
+        mine = sorted((hashlib.md5(f"{mixing.SEED}:{x.full_epochs}:{'' if d.doc_id is None else d.doc_id}".encode()).hexdigest(), d.doc_id) for d in docs.collect() if (d.lang or "", d.source or "") == (x.lang, x.source))
+        sizes, left, fits = {d.doc_id: len(d.text or "") for d in docs.collect()}, x.rest, set()
+        for _, d in mine:
+            left -= sizes[d]
+            if left < 0 or not x.rest:
+                break
+            fits.add(d)
+        got = collections.Counter(t.doc_id for t in taken if (t.lang or "", t.source or "") == (x.lang, x.source))
+        copies = collections.Counter(d for _, d in mine)
+        assert got == collections.Counter({d: n * (x.full_epochs + (d in fits)) for d, n in copies.items() if x.full_epochs + (d in fits)})
     for x in leaves:
         used = sum(t.n for t in taken if (t.lang or "", t.source or "") == (x.lang, x.source))
         assert used <= x.budget and x.full_epochs * x.tokens <= used
