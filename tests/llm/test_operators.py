@@ -161,7 +161,7 @@ def test_neighbours(spark):
     data = [(k, [float(v) for v in x]) for k, x in enumerate(base)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] * 16), (40, [float(v) for v in base[3]]), (2004, [1.0])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("row", F.lit("x"))
     v = permutation_index.usable(df, "vec_id", "embedding")
-    got = permutation_index.search(v, v.where("id % 20 = 0"), rows=600, share=0.3).collect()
+    got = permutation_index.search(v, v.where("id % 20 = 0"), rows=600).collect()
     alive = [(k, np.array(x)) for k, x in data if k < 2000]
     hits = total = 0
     by = collections.defaultdict(list)
