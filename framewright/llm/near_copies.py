@@ -10,7 +10,7 @@ sets. Shingles and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,29 +105,54 @@ def sketches(docs: DataFrame, row: str, key: str, text: str) -> DataFrame:
     return docs.select(row, key, text).mapInArrow(run, schema)
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """For each of 2n bits or more, whether an odd number of hashes fall there: about a 32nd of the set's size."""
+    m = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A number of elements that are in just one of two sets, by their parities: never more than there are."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, row: str, text: str) -> DataFrame:
-    """The pairs (u, v) of sets that are similar. rows: (row, set), one row a set; its text is read again."""
-    pairs = checkpointed(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    named = pairs.select(F.col("u").alias("set")).union(pairs.select("v")).distinct()
-    wanted = checkpointed(rows.select(row, "set").join(named, "set").distinct())
-    texts = split_by(docs.select(row, text), row, key_filter(wanted, row))[0].join(wanted, row).select("set", text)
+    """The pairs (u, v) of sets that are similar. rows: (row, set), one row a set; its text is read again.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["set", "h"])
+    Parities first rule out most pairs; whole sets are only joined to what they leave."""
+    pairs = checkpointed(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                ok.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
-            b = b.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], LINKS.names)
-
-    sets = checkpointed(texts.mapInArrow(read, "set long, h binary"))
-    both = pairs.join(sets.selectExpr("set AS u", "h AS hu"), "u").join(sets.selectExpr("set AS v", "h AS hv"), "v")
-    return checkpointed(both.select("u", "v", "hu", "hv").mapInArrow(check, LINKS))
+    def of_sets(pairs: DataFrame, kept: Callable[[np.ndarray], bytes]) -> DataFrame:
+        """pairs with nu, nv, hu and hv: size and what `kept` makes of either set."""
+        named = pairs.select(F.col("u").alias("set")).union(pairs.select("v")).distinct()
+        wanted = checkpointed(rows.select(row, "set").join(named, "set").distinct())
+        texts = split_by(docs.select(row, text), row, key_filter(wanted, row))[0].join(wanted, row).select("set", text)
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                sets = [shingles(t) for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([kept(h) for h in sets], pa.binary())], ["set", "n", "h"])
+
+        found = checkpointed(texts.mapInArrow(read, "set long, n long, h binary"))
+        return pairs.join(found.selectExpr("set AS u", "n AS nu", "h AS hu"), "u").join(found.selectExpr("set AS v", "n AS nv", "h AS hv"), "v").select("u", "v", "nu", "nv", "hu", "hv")
+
+    def filtered(similar: Callable[[int, int, bytes, bytes], bool]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ok = [similar(*x) for x in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+                b = b.filter(pa.array(ok, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], LINKS.names)
+
+        return run
+
+    # n + m - 2c differ, c in common: at a similarity of 4/5 or more, (n + m) / 9 at most
+    near = of_sets(pairs, parities).mapInArrow(filtered(lambda n, m, x, y: 9 * apart(x, y) <= n + m), LINKS)
+    common = lambda x, y: len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+    whole = of_sets(checkpointed(near), np.ndarray.tobytes)
+    return checkpointed(whole.mapInArrow(filtered(lambda n, m, x, y: 9 * common(x, y) >= 4 * (n + m)), LINKS))
 
 
 def candidates(distinct: DataFrame, known: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from framewright.llm import mixing, secrets
+from framewright.llm import mixing, near_copies, secrets
 
 public = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -178,3 +179,15 @@ def test_texts_too_short_to_judge_stay(spark, tmp_path):
     docs = written(spark, table(), tmp_path)
     got = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
     assert {503, 504} <= got and not {500, 501, 502, 512} & got
+
+
+def test_parities_never_rule_out_similar_sets():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 5, 31, 100, 900, 5000):
+        a = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+        for share in (0.0, 0.05, 0.12, 0.5, 1.0):
+            b = np.unique(np.concatenate([a[int(share * n) :], r.integers(0, 1 << 64, int(share * n) + (n % 3), dtype=np.uint64)]))
+            differ = len(np.setxor1d(a, b))
+            assert near_copies.apart(near_copies.parities(a), near_copies.parities(b)) <= differ
+            if differ > 20 and share == 1.0:
+                assert 9 * near_copies.apart(near_copies.parities(a), near_copies.parities(b)) > len(a) + len(b)
