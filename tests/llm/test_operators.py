@@ -57,7 +57,7 @@ def test_shards(docs, empty):
 
 def test_shards_keep_groups_and_split_giants(spark):
     df = spark.createDataFrame([(k, k // 4 if k < 200 else -1) for k in range(400)], "doc_id long, link long")
-    got = sharding.assign(df, "doc_id", "link", 8).collect()
+    got = sharding.assign(df, "doc_id", ["link"], 8).collect()
     assert set(collections.Counter(r.shard for r in got).values()) == {50}
     split = [g for g in range(50) if len({r.shard for r in got if r.link == g}) > 1]
     assert len(split) <= 8
