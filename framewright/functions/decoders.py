@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewright.functions import text
 
@@ -145,17 +146,52 @@ def string(msg: Column, selectors: list[str] | None) -> Column:
     return msg["data"]
 
 
+def numbers_of(value: Column, kind: T.DataType) -> Column | None:
+    """All numbers of a value of any type, in order, as array<float>; a point or quaternion gives x, y, z and w. Null for text."""
+    if isinstance(kind, T.NumericType | T.BooleanType):
+        return F.array(value.cast("float"))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType | T.BooleanType):
+        return value.cast("array<float>")
+    if isinstance(kind, T.StructType):
+        named = [f for n in "xyzw" for f in kind.fields if f.name == n] or kind.fields
+        parts = [p for f in named if (p := numbers_of(value[f.name], f.dataType)) is not None]
+        return F.concat(*parts) if parts else None
+    return None
+
+
+def generic(msg: Column, selectors: list[str] | None, schema: T.StructType) -> Column:
+    """Any message: all its numbers, or those that selectors name (`a.b`, `a.b.2`, `a.b[2]`, negative places from the end)."""
+    if not selectors:
+        return F.coalesce(numbers_of(msg, T.StructType([f for f in schema.fields if f.name != "header"])), F.array().cast("array<float>"))
+    out = []
+    for s in selectors:
+        value, kind = msg, schema
+        for part in re.findall(r"-?\w+", s):
+            if isinstance(kind, T.ArrayType):
+                k = int(part)
+                value, kind = F.try_element_at(value, F.lit(k + 1 if k >= 0 else k)), kind.elementType
+            elif isinstance(kind, T.StructType) and part in kind.names:
+                value, kind = value[part], kind[part].dataType
+            else:
+                raise ValueError(f"selector {s!r}: no {part!r} there")
+        if (found := numbers_of(value, kind)) is None:
+            raise ValueError(f"selector {s!r} names no number")
+        out.append(found)
+    return F.concat(*out)
+
+
 UNCONVERTED = ("sensor_msgs/Joy", "std_msgs/Float32", "std_msgs/Float64", "std_msgs/Float32MultiArray", "std_msgs/String")
 
 
-def decode(msg_type: str, msg: Column, selectors: list[str] | None = None, unit: str | float | None = None, pad_to: int | None = None) -> Column:
-    """The vector of a message: a registered decoder, else the built-in one; then its unit, then zeros up to a width."""
+def decode(msg_type: str, msg: Column, selectors: list[str] | None = None, unit: str | float | None = None, pad_to: int | None = None, schema: T.StructType | None = None) -> Column:
+    """The vector of a message: a registered decoder, else the built-in one, else (with its schema) the generic one,
+    which has no unit; then its unit, then zeros up to a width."""
     plain = msg_type.replace("/msg/", "/")
     maker = REGISTERED.get(plain) or BUILT_IN.get(plain)
-    if maker is None:
+    if maker is None and schema is None:
         raise KeyError(f"no decoder for {msg_type}")
-    out = maker(msg, selectors)
-    if unit is not None and plain not in UNCONVERTED:
+    out = maker(msg, selectors) if maker else generic(msg, selectors, schema)
+    if unit is not None and maker and plain not in UNCONVERTED:
         out = F.transform(out, lambda v: text.convert(v, unit))
     return out if pad_to is None else text.pad(out, pad_to)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from framewright.operators import sequence
 
 ISSUE = "severity string, status string, episode_index long, video_key string, detail string"
-REQUIRED_INFO = ("codebase_version", "robot_type", "fps", "total_episodes", "total_frames", "total_tasks", "chunks_size", "data_path", "video_path", "splits", "features")
+REQUIRED_INFO = ("codebase_version", "robot_type", "fps", "total_episodes", "total_frames", "total_tasks", "chunks_size", "data_files_size_in_mb", "video_files_size_in_mb", "data_path", "video_path", "splits", "features")
 VIDEO_COLUMNS = ("chunk_index", "file_index", "from_timestamp", "to_timestamp")
 
 
@@ -21,6 +21,11 @@ def issues(df: DataFrame, status: str, detail: Column, severity: str = "error",
     return df.select(F.lit(severity).alias("severity"), F.lit(status).alias("status"), episode.alias("episode_index"), F.lit(key).cast("string").alias("video_key"), detail.cast("string").alias("detail"))
 
 
+def video_keys(columns: list[str]) -> list[str]:
+    """The video keys that episode columns name, in order of appearance."""
+    return list(dict.fromkeys(c.split("/")[1] for c in columns if c.startswith("videos/") and c.count("/") == 2))
+
+
 def video_mapping(episodes: DataFrame, key: str) -> DataFrame:
     """(episode_index, length, chunk_index, file_index, from_timestamp, to_timestamp) of one video key."""
     return episodes.select("episode_index", "length", *[F.col(f"`videos/{key}/{c}`").alias(c) for c in VIDEO_COLUMNS])
@@ -114,6 +119,23 @@ def dataset_issues(spark: SparkSession, path: str) -> DataFrame:
         if k not in info.get("features", {}):
             add("EXTRA_COLUMN", k, "WARN")
     episodes = spark.read.parquet(os.path.join(path, "meta/episodes"))
+    for c, want in (("episode_index", "bigint"), ("length", "bigint"), ("dataset_from_index", "bigint"), ("dataset_to_index", "bigint")):
+        if dict(episodes.dtypes).get(c) != want:
+            add("EPISODE_COLUMN", f"{c}: {dict(episodes.dtypes).get(c)}, not {want}")
+    declared = [k for k, v in info.get("features", {}).items() if v["dtype"] == "video"]
+    for k in declared:
+        for c in VIDEO_COLUMNS:
+            if f"videos/{k}/{c}" not in episodes.columns:
+                add("EPISODE_COLUMN", f"videos/{k}/{c}")
+        if not any(f.endswith(".mp4") for _, _, fs in os.walk(os.path.join(path, "videos", k)) for f in fs):
+            add("MISSING_FILE", f"videos/{k}")
+    for k in video_keys(episodes.columns):
+        if k not in declared:
+            add("UNDECLARED_VIDEO", k, "WARN")
+    if os.path.exists(os.path.join(path, "meta/tasks.parquet")):
+        kinds = dict(spark.read.parquet(os.path.join(path, "meta/tasks.parquet")).dtypes)
+        if kinds.get("task_index") != "bigint" or kinds.get("task") != "string":
+            add("TASKS_COLUMN", kinds)
     n, frames = episodes.agg(F.count("*"), F.sum("length")).first()
     if n != info.get("total_episodes"):
         add("EPISODE_COUNT", f"{n} of {info.get('total_episodes')}")

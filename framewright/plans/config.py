@@ -59,6 +59,7 @@ class Feature:
     stamp_source: str = "receive"
     max_stamp_delay_ms: float | None = None
     shape: list[int] | None = None
+    decoder: str | None = None
 
     def __post_init__(self) -> None:
         if self.dtype not in DTYPES:

@@ -1,19 +1,22 @@
-"""Recorded bags as a Spark data source: one partition a bag, topics pushed down to the file's index.
+"""Recorded bags as a Spark data source: one partition a bag, topics picked by the file's index.
 
-    read_bags(spark, folder).where("topic = '/joint_states'")
+    read_bags(spark, folder, topics=["/joint_states"])
 
-Reads SQLite bags (.db3) and MCAP files whose chunks are plain or zstd. `payload=false` leaves the
+Reads SQLite bags (.db3) and MCAP files whose chunks are plain, zstd or lz4. `payload=false` leaves the
 message bytes out, for timestamp scans."""
 
 from __future__ import annotations
 
+import heapq
+import json
 import os
 import sqlite3
 import struct
-from collections.abc import Iterator
+from collections.abc import Collection, Iterable, Iterator
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "bag_path string, episode_index long, seq long, topic string, msg_type string, recv_ns long, payload binary"
 SUFFIXES = (".db3", ".mcap")
@@ -59,16 +62,57 @@ def _records(data: bytes, at: int) -> Iterator[tuple[int, bytes]]:
         at += 9 + size
 
 
+MAGIC = b"\x89MCAP0\r\n"
+
+
+def _chunk(record: bytes) -> bytes:
+    """The records in a chunk."""
+    size = struct.unpack_from("<Q", record, 16)[0]
+    how, at = _string(record, 28)
+    body = record[at + 8 : at + 8 + struct.unpack_from("<Q", record, at)[0]]
+    if how == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(body, max_output_size=size)
+    if how == "lz4":
+        import pyarrow as pa
+
+        with pa.CompressedInputStream(pa.BufferReader(body), "lz4") as f:
+            return f.read()
+    if how:
+        raise ValueError(f"chunk compression {how!r} can't be read here")
+    return body
+
+
+def _chunk_index(f: BinaryIO) -> tuple[list[tuple[int, bytes]], list[tuple[int, int, int, set[int]]]] | None:
+    """The schemas and channels of a file's summary, and (start, end, place, channels) of each chunk; None without a summary."""
+    f.seek(0, os.SEEK_END)
+    size = f.tell()
+    if size < 45:
+        return None
+    f.seek(size - 37)
+    op, _, at = struct.unpack("<BQQ", f.read(17))
+    f.seek(size - 8)
+    if op != 2 or not at or f.read(8) != MAGIC:
+        return None
+    f.seek(at)
+    summary = list(_records(f.read(size - 37 - at), 0))
+    chunks = []
+    for op, r in summary:
+        if op == 8:
+            start, end, place = struct.unpack_from("<QQQ", r)
+            n = struct.unpack_from("<I", r, 32)[0]
+            chunks.append((start, end, place, {struct.unpack_from("<H", r, 36 + k)[0] for k in range(0, n, 10)}))
+    return ([x for x in summary if x[0] in (3, 4)], sorted(chunks)) if chunks else None
+
+
 def read_mcap(path: str, topics: set[str] | None, payload: bool) -> Iterator[tuple[str, str, int, bytes | None]]:
-    with open(path, "rb") as f:
-        data = f.read()
-    if data[:8] != b"\x89MCAP0\r\n":
-        raise ValueError(f"{path} is no MCAP file")
+    """Messages in order of time. With a chunk index only chunks that hold wanted topics are read, and no more
+    are held than overlap in time; without one all wanted messages are held to be sorted."""
     schemas: dict[int, str] = {}
     channels: dict[int, tuple[str, str]] = {}
-    found = []
 
-    def walk(records: Iterator[tuple[int, bytes]]) -> None:
+    def walk(records: Iterable[tuple[int, bytes]]) -> Iterator[tuple[str, str, int, bytes | None]]:
         for op, r in records:
             if op == 3:
                 schemas[struct.unpack_from("<H", r)[0]] = _string(r, 2)[0]
@@ -78,21 +122,40 @@ def read_mcap(path: str, topics: set[str] | None, payload: bool) -> Iterator[tup
             elif op == 5:
                 channel, _, log = struct.unpack_from("<HIQ", r)
                 if channel in channels and (topics is None or channels[channel][0] in topics):
-                    found.append((*channels[channel], log, r[22:] if payload else None))
+                    yield (*channels[channel], log, r[22:] if payload else None)
             elif op == 6:
-                size = struct.unpack_from("<Q", r, 16)[0]
-                how, at = _string(r, 28)
-                body = r[at + 8 : at + 8 + struct.unpack_from("<Q", r, at)[0]]
-                if how == "zstd":
-                    import zstandard
-
-                    body = zstandard.ZstdDecompressor().decompress(body, max_output_size=size)
-                elif how:
-                    raise ValueError(f"chunk compression {how!r} can't be read here")
-                walk(_records(body, 0))
+                yield from walk(_records(_chunk(r), 0))
 
-    walk(_records(data, 8))
-    yield from sorted(found, key=lambda x: x[2])
+    with open(path, "rb") as f:
+        if f.read(8) != MAGIC:
+            raise ValueError(f"{path} is no MCAP file")
+        indexed = _chunk_index(f)
+        if indexed is None:
+            f.seek(8)
+            yield from sorted(walk(_from_file(f)), key=lambda x: x[2])
+            return
+        list(walk(indexed[0]))
+        held: list[tuple[int, int, tuple]] = []
+        n = 0
+        for start, _, place, inside in indexed[1]:
+            if topics is not None and inside and not any(channels.get(c, ("",))[0] in topics for c in inside):
+                continue
+            while held and held[0][0] < start:  # no later chunk has anything before its own start
+                yield heapq.heappop(held)[2]
+            f.seek(place)
+            _, size = struct.unpack("<BQ", f.read(9))
+            for m in walk(_records(_chunk(f.read(size)), 0)):
+                heapq.heappush(held, (m[2], n, m))
+                n += 1
+        while held:
+            yield heapq.heappop(held)[2]
+
+
+def _from_file(f: BinaryIO) -> Iterator[tuple[int, bytes]]:
+    """The records of a file, one at a time."""
+    while len(head := f.read(9)) == 9:
+        op, size = struct.unpack("<BQ", head)
+        yield op, f.read(size)
 
 
 class BagPartition(InputPartition):
@@ -104,15 +167,7 @@ class BagReader(DataSourceReader):
     def __init__(self, options: dict):
         self.bags = discover(options["path"])
         self.payload = str(options.get("payload", "true")).lower() != "false"
-        self.topics: set[str] | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("topic",):
-                wanted = set(f.value) if isinstance(f, In) else {f.value}
-                self.topics = wanted if self.topics is None else self.topics & wanted
-            else:
-                yield f
+        self.topics = set(json.loads(options["topics"])) if options.get("topics") else None
 
     def partitions(self) -> list[BagPartition]:
         return [BagPartition(b, k) for k, b in enumerate(self.bags)]
@@ -137,8 +192,11 @@ class BagSource(DataSource):
         return BagReader(self.options)
 
 
-def read_bags(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """All messages of the bags in a folder; filters on the topic are pushed down to the files."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_bags(spark: SparkSession, path: str, payload: bool = True, topics: Collection[str] | None = None) -> DataFrame:
+    """The messages of the bags in a folder, of some topics or of all; topics are picked by the files' own index.
+
+    They are an option and no pushed filter: scans of one plan share a reader, so that one branch's
+    filter would also cut another's rows."""
     spark.dataSource.register(BagSource)
-    return spark.read.format("bag").option("path", path).option("payload", str(payload).lower()).load()
+    reader = spark.read.format("bag").option("path", path).option("payload", str(payload).lower())
+    return (reader.option("topics", json.dumps(sorted(topics))) if topics is not None else reader).load()

@@ -16,6 +16,19 @@ PRIMITIVES = {
     "int64": ("q", T.LongType()), "uint64": ("Q", T.DecimalType(20, 0)), "float32": ("f", T.FloatType()), "float64": ("d", T.DoubleType()),
 }
 BUILT_IN = {"builtin_interfaces/Time": "int32 sec\nuint32 nanosec", "builtin_interfaces/Duration": "int32 sec\nuint32 nanosec", "std_msgs/Header": "builtin_interfaces/Time stamp\nstring frame_id"}
+_XYZ = "float64 x\nfloat64 y\nfloat64 z"
+BUILT_IN |= {
+    "geometry_msgs/Vector3": _XYZ, "geometry_msgs/Point": _XYZ, "geometry_msgs/Quaternion": _XYZ + "\nfloat64 w",
+    "geometry_msgs/Twist": "Vector3 linear\nVector3 angular", "geometry_msgs/Wrench": "Vector3 force\nVector3 torque", "geometry_msgs/Pose": "Point position\nQuaternion orientation",
+    "geometry_msgs/PoseWithCovariance": "Pose pose\nfloat64[36] covariance", "geometry_msgs/TwistWithCovariance": "Twist twist\nfloat64[36] covariance",
+}
+#: Definitions of the common types, for bags that carry none.
+STANDARD = BUILT_IN | {
+    "sensor_msgs/JointState": "Header header\nstring[] name\nfloat64[] position\nfloat64[] velocity\nfloat64[] effort",
+    "geometry_msgs/TwistStamped": "Header header\nTwist twist", "geometry_msgs/WrenchStamped": "Header header\nWrench wrench", "geometry_msgs/PoseStamped": "Header header\nPose pose",
+    "nav_msgs/Odometry": "Header header\nstring child_frame_id\ngeometry_msgs/PoseWithCovariance pose\ngeometry_msgs/TwistWithCovariance twist",
+    "sensor_msgs/Joy": "Header header\nfloat32[] axes\nint32[] buttons", "std_msgs/Float32": "float32 data", "std_msgs/Float64": "float64 data", "std_msgs/String": "string data",
+}
 Field = tuple[str, str, int | None]
 
 

@@ -8,7 +8,9 @@ import struct
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from framewright.functions import decoders, geometry, images, text
@@ -167,7 +169,9 @@ def test_bags(spark, tmp_path):
             db.executemany("INSERT INTO messages VALUES (?, ?, ?, ?)", [(i, 1 + i % 2, 100 - i, joint_payload([float(i), 0.5])) for i in range(6)])
     df = bags.read_bags(spark, str(tmp_path))
     assert df.count() == 12 and [r.recv_ns for r in df.where("episode_index = 0").orderBy("seq").collect()] == list(range(95, 101))
-    msg = cdr.decode_payloads(df.where("topic = '/j'"), "p/msg/J", "std_msgs/Header header\nuint8 K=3\nfloat64[] position # values")
+    some = bags.read_bags(spark, str(tmp_path), topics=["/j"])
+    assert some.count() == 6 and df.where("topic = '/j'").union(df.where("topic = '/other'")).count() == 12
+    msg = cdr.decode_payloads(some, "p/msg/J", "std_msgs/Header header\nuint8 K=3\nfloat64[] position # values")
     got = msg.orderBy("episode_index", "recv_ns").first()
     assert (got.msg.header.stamp.sec, got.msg.header.frame_id, got.msg.position) == (7, "f", [4.0, 0.5])
     with pytest.raises(FileNotFoundError):
@@ -182,6 +186,21 @@ def test_mcap(tmp_path):
     with open(tmp_path / "a.mcap", "wb") as f:
         f.write(b"\x89MCAP0\r\n" + record(6, struct.pack("<QQQI", 20, 30, len(body), 0) + text_("") + struct.pack("<Q", len(body)) + body))
     assert list(bags.read_mcap(str(tmp_path / "a.mcap"), None, True)) == [("/j", "p/msg/J", 20, b"early"), ("/j", "p/msg/J", 30, b"late")]
+    # with a chunk index: chunks overlap in time, lz4 too, and those without a wanted topic aren't touched
+    kinds = record(3, struct.pack("<H", 1) + text_("p/msg/J") + text_("ros2msg") + struct.pack("<I", 0)) + b"".join(record(4, struct.pack("<HH", c, 1) + text_(n) + text_("cdr") + struct.pack("<I", 0)) for c, n in ((5, "/j"), (6, "/k")))
+    out, index = b"\x89MCAP0\r\n" + record(1, text_("") + text_("")), b""
+    for how, messages in (("", [(5, 10), (6, 40)]), ("lz4", [(5, 20), (5, 50)]), ("bad", [(6, 45)]), ("zstd", [(6, 60), (5, 55)])):
+        inner = b"".join(record(5, struct.pack("<HIQQ", c, 0, t, t) + b"%d" % t) for c, t in messages)
+        packed = {"": bytes, "bad": bytes, "lz4": lambda x: pa.Codec("lz4").compress(x, asbytes=True), "zstd": lambda x: zstandard.compress(x)}[how](inner)
+        times = [t for _, t in messages]
+        index += record(8, struct.pack("<QQQQ", min(times), max(times), len(out), 0) + struct.pack("<I", 10 * len({c for c, _ in messages})) + b"".join(struct.pack("<HQ", c, 0) for c in {c for c, _ in messages}) + struct.pack("<Q", 0) + text_(how) + struct.pack("<QQ", 0, 0))
+        out += record(6, struct.pack("<QQQI", min(times), max(times), len(inner), 0) + text_(how) + struct.pack("<Q", len(packed)) + packed)
+    with open(tmp_path / "b.mcap", "wb") as f:
+        f.write(out + record(15, b"\0" * 4) + kinds + index + record(2, struct.pack("<QQI", len(out) + 13, 0, 0)) + b"\x89MCAP0\r\n")
+    assert [m[2:] for m in bags.read_mcap(str(tmp_path / "b.mcap"), {"/j"}, True)] == [(t, b"%d" % t) for t in (10, 20, 50, 55)]
+    assert [m[3] for m in bags.read_mcap(str(tmp_path / "b.mcap"), {"/j"}, False)] == [None] * 4
+    with pytest.raises(ValueError, match="bad"):
+        list(bags.read_mcap(str(tmp_path / "b.mcap"), None, True))
 
 
 def test_dataset(spark, tmp_path):
