@@ -25,10 +25,13 @@ def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where the session names none (tests on one machine) a local one is made."""
+    """The folder of spark.checkpoint.dir. Where the session names none, one is made on this machine, but only if it is all there is."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framewright-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="framewright-"))
     return sc.getCheckpointDir()
 
 
