@@ -1,16 +1,17 @@
 """Routing, stale filtering, windows and as-of resampling onto a fixed-rate frame grid.
 
 Samples are long rows (episode_index, feature_key, ts_ns, seq, value). A resampling is one union of
-samples and grid points, one shuffle on (episode_index, feature_key) and one sort; both as-of sides
-are window expressions over that sort. No range join and no collect.
+samples and windows (or grid points of any times), one shuffle on (episode_index, feature_key) and one
+sort; both as-of sides are window expressions over that sort. No range join and no collect.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EPISODE, KEY = "episode_index", "feature_key"
@@ -60,42 +61,79 @@ def full_window(messages: DataFrame, ts: str = "recv_ns") -> DataFrame:
     return messages.groupBy(EPISODE).agg(F.min(ts).alias("start_ns"), F.max(ts).alias("end_ns"))
 
 
+def frame_count(fps: float) -> Column:
+    """Frames of a window: max(1, ceil(seconds x fps))."""
+    return F.greatest(F.lit(1), F.ceil((F.col("end_ns") - F.col("start_ns")) / F.lit(1e9) * F.lit(float(fps)))).cast("long")
+
+
 def frame_grid(windows: DataFrame, fps: float) -> DataFrame:
     """(episode_index, frame_index, grid_ns): max(1, ceil(seconds x fps)) frames, one truncated period apart."""
-    n = F.greatest(F.lit(1), F.ceil((F.col("end_ns") - F.col("start_ns")) / F.lit(1e9) * F.lit(float(fps)))).cast("long")
-    grid = windows.select(EPISODE, "start_ns", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("frame_index"))
+    grid = windows.select(EPISODE, "start_ns", F.explode(F.sequence(F.lit(0).cast("long"), frame_count(fps) - 1)).alias("frame_index"))
     return grid.select(EPISODE, "frame_index", (F.col("start_ns") + F.col("frame_index") * int(1e9 / fps)).alias("grid_ns"))
 
 
+def usable(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Samples of the keys that have a time and an episode; others are of no frame."""
+    return samples.where(F.col(KEY).isin(keys) & F.col("ts_ns").isNotNull() & F.col(EPISODE).isNotNull())
+
+
+def wanted(spark: SparkSession, keys: list[str]) -> DataFrame:
+    return F.broadcast(spark.createDataFrame([(k,) for k in keys], "feature_key string"))  # from the configuration
+
+
+def choice(policy: str, t: Column, before_ns: Column, after_ns: Column, tolerance_ns: int) -> Callable[[Column, Column], Column]:
+    """What a frame at t takes of the last sample at or before it and the first after it; null for neither."""
+    if policy == "hold":
+        first = before_ns.isNotNull()
+        there = first | (after_ns - t <= tolerance_ns)
+    elif policy in ("nearest", "drop"):
+        first = before_ns.isNotNull() & (after_ns.isNull() | (t - before_ns <= after_ns - t))
+        there = F.abs(F.when(first, before_ns).otherwise(after_ns) - t) <= tolerance_ns
+    else:
+        raise ValueError(f"unknown policy {policy!r}")
+    return lambda before, after: F.when(there, F.when(first, before).otherwise(after))
+
+
 def resample(samples: DataFrame, grid: DataFrame, keys: list[str], policy: str = "hold", tolerance_ns: int = 0) -> DataFrame:
     """(episode_index, frame_index, feature_key, grid_ns, src_ns, value) for every frame and key asked for.
 
     hold: the last sample at or before the frame, however old; before the first sample, that one if
     within the tolerance. nearest (and drop): the nearer of the last at or before and the first after,
-    the earlier of equally near ones, null beyond the tolerance. Equal times are told apart by seq."""
-    if policy not in ("hold", "nearest", "drop"):
-        raise ValueError(f"unknown policy {policy!r}")
-    spark = samples.sparkSession
-    kind = samples.schema["value"].dataType
-    wanted = F.broadcast(spark.createDataFrame([(k,) for k in keys], "feature_key string"))  # from the configuration
-    points = grid.crossJoin(wanted).select(EPISODE, KEY, F.col("grid_ns").alias("ts_ns"), F.lit(1).alias("is_grid"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast(kind).alias("value"), "frame_index")
-    rows = samples.where(F.col(KEY).isin(keys)).select(EPISODE, KEY, "ts_ns", F.lit(0).alias("is_grid"), "seq", "value", F.lit(None).cast("long").alias("frame_index"))
+    the earlier of equally near ones, null beyond the tolerance. Equal times are told apart by seq.
+    For frames of any times; those of frame_grid take much less with resample_windows."""
+    t = F.col("ts_ns")
+    chosen = choice(policy, t, F.col("before.ts_ns"), F.col("after.ts_ns"), tolerance_ns)
+    sample = F.struct("ts_ns", "value").alias("sample")
+    rows = usable(samples, keys).select(EPISODE, KEY, "ts_ns", F.lit(0).alias("is_grid"), "seq", sample, F.lit(None).cast("long").alias("frame_index"))
+    kind = rows.schema["sample"].dataType
+    points = grid.crossJoin(wanted(samples.sparkSession, keys)).select(EPISODE, KEY, F.col("grid_ns").alias("ts_ns"), F.lit(1).alias("is_grid"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast(kind).alias("sample"), "frame_index")
     w = Window.partitionBy(EPISODE, KEY).orderBy("ts_ns", "is_grid", "seq")
-    sample = F.when(F.col("is_grid") == 0, F.struct("ts_ns", "value"))
-    both = rows.unionByName(points).withColumn("before", F.last(sample, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    if policy == "hold":  # what comes after only counts before the first sample: that one, for the whole key
-        after = F.first(sample, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    else:  # a frame that grows: one that shrinks towards the end would be read anew for every row
-        after = F.last(sample, True).over(Window.partitionBy(EPISODE, KEY).orderBy(F.desc("ts_ns"), F.desc("is_grid"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1))
-    both = both.withColumn("after", after)
-    t, b, a = F.col("ts_ns"), F.col("before"), F.col("after")
-    if policy == "hold":
-        chosen = F.when(b.isNotNull(), b).when(a["ts_ns"] - t <= tolerance_ns, a)
-    else:
-        nearer = F.when(a.isNull() | (t - b["ts_ns"] <= a["ts_ns"] - t), b).otherwise(a)
-        chosen = F.when(F.abs(nearer["ts_ns"] - t) <= tolerance_ns, nearer)
-    out = both.where("is_grid = 1").withColumn("chosen", chosen)
-    return out.select(EPISODE, "frame_index", KEY, F.col("ts_ns").alias("grid_ns"), F.col("chosen.ts_ns").alias("src_ns"), F.col("chosen.value").alias("value"))
+    # lead goes on from where it was, where first over a frame that shrinks would be read anew for every row
+    ends = {"before": F.last("sample", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after": F.expr("lead(sample) IGNORE NULLS").over(w)}
+    out = rows.unionByName(points).withColumns(ends).where("is_grid = 1")
+    return out.select(EPISODE, "frame_index", KEY, t.alias("grid_ns"), *[chosen(F.col(f"before.{c}"), F.col(f"after.{c}")).alias(name) for c, name in (("ts_ns", "src_ns"), ("value", "value"))])
+
+
+def resample_windows(samples: DataFrame, windows: DataFrame, fps: float, keys: list[str], policy: str = "hold", tolerance_ns: int = 0) -> DataFrame:
+    """resample onto frame_grid(windows, fps), of one window an episode and keys that differ.
+
+    Only samples are sorted, and one head for each window and key: frames from a sample up to the next
+    one are a range of numbers, made into rows after that."""
+    period = int(1e9 / fps)
+    if period == 0:  # all frames at one time
+        return resample(samples, frame_grid(windows, fps), keys, policy, tolerance_ns)
+    grid_ns = F.col("start_ns") + F.col("frame_index") * period
+    chosen = choice(policy, F.col("grid_ns"), F.col("ts_ns"), F.col("next_ns"), tolerance_ns)
+    none = lambda **of: [F.lit(None).cast(kind).alias(c) for c, kind in of.items()]
+    rows = usable(samples, keys).select(EPISODE, KEY, "ts_ns", "seq", "value", *none(start_ns="long", n_frames="long"))
+    heads = windows.crossJoin(wanted(samples.sparkSession, keys)).select(EPISODE, KEY, *none(ts_ns="long", seq="long", value=rows.schema["value"].dataType), "start_ns", frame_count(fps).alias("n_frames"))
+    w = Window.partitionBy(EPISODE, KEY).orderBy(F.asc_nulls_first("ts_ns"), "seq")  # the head comes first, as it has no time
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(heads).withColumns({"next_ns": F.lead("ts_ns").over(w), "next_value": F.lead("value").over(w), **{c: F.last(c, True).over(upto) for c in ("start_ns", "n_frames")}})
+    at = lambda c: F.greatest(F.lit(0).cast("long"), F.least("n_frames", F.expr(f"({c} - start_ns + {period - 1}L) div {period}L")))  # noqa: E731 - the first frame at or after it
+    spans = both.withColumns({"lo": F.when(F.col("ts_ns").isNull(), F.lit(0).cast("long")).otherwise(at("ts_ns")), "hi": F.coalesce(F.when(F.col("next_ns").isNotNull(), at("next_ns")), "n_frames")})
+    out = spans.where("lo < hi").withColumn("frame_index", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1))).withColumn("grid_ns", grid_ns)
+    return out.select(EPISODE, "frame_index", KEY, "grid_ns", chosen(F.col("ts_ns"), F.col("next_ns")).alias("src_ns"), chosen(F.col("value"), F.col("next_value")).alias("value"))
 
 
 def widen(frames: DataFrame, keys: list[str]) -> DataFrame:

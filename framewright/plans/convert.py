@@ -73,7 +73,7 @@ def frames(found: DataFrame, config: Conversion, window: DataFrame | None = None
     how, keys = config.resampling, [f.key for f in config.features]
     whole = not (how.align_to_required and config.required_keys)
     spans = (window if window is not None else align.full_window(found, "ts_ns")) if whole else align.required_window(found, config.required_keys)
-    aligned = align.resample(found, align.frame_grid(spans, config.fps), keys, how.policy, int(how.tolerance_ms * 1e6))
+    aligned = align.resample_windows(found, spans, config.fps, keys, how.policy, int(how.tolerance_ms * 1e6))
     names = {k: f"f{n}" for n, k in enumerate(keys)}  # keys have dots
     wide = align.widen(aligned.replace(names, subset=["feature_key"]), list(names.values()))
     if how.trim_to_valid and config.required_keys:

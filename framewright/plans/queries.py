@@ -114,7 +114,8 @@ hold AS (SELECT j.episode_index, frame_index, feature_key, grid_ns, CASE WHEN re
 
 def resampled(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
     """Frames with src_ns -1 where there is no sample, so that the column has no nulls."""
-    out = align.resample(samples(spark, sf_dir), grid(spark, sf_dir), KEYS, policy, TOLERANCE)
+    found = samples(spark, sf_dir)
+    out = align.resample_windows(found, align.required_window(found, REQUIRED), FPS, KEYS, policy, TOLERANCE)
     return out.withColumn("src_ns", F.coalesce("src_ns", F.lit(-1).cast("long")))
 
 

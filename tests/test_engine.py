@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import decoders, geometry, images, text
 from framewright.operators import align, quality, sequence, stats, validate
-from framewright.plans import config
+from framewright.plans import config, queries
 from framewright.sinks import dataset
 from framewright.sources import bags, cdr
 from framewright.streaming import hold
@@ -64,6 +64,54 @@ def test_resample_of_a_long_key_is_linear(spark, policy):
     assert (x.n, x.v, x.off) == ((n, n * (n - 1) / 2, 7 * n) if policy == "hold" else (n - 1, n * (n - 1) / 2, 3 * (n - 1)))
 
 
+def rows_sent(df):
+    """Rows that the exchanges of a query wrote, and how many sorts it has; the query runs for that."""
+    df.collect()
+    sent, sorts, todo = 0, 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if name == "ShuffleExchangeExec":
+                sent += node.metrics().get("shuffleRecordsWritten").get().value()
+            sorts += name == "SortExec"
+            kids = node.children()
+            todo += [kids.apply(k) for k in range(kids.size())]
+    return sent, sorts
+
+
+@pytest.mark.parametrize("policy", ["drop"])
+def test_resampling_sorts_samples_and_no_frames(spark, policy):
+    df = queries.resampled(spark, SF, policy)
+    n, windows = queries.samples(spark, SF).count(), align.required_window(queries.samples(spark, SF), queries.REQUIRED).count()
+    sent, sorts = rows_sent(df)
+    assert df.count() > 9 * n  # all of these were sent, and for all but hold sorted twice
+    assert sorts == 1 and sent <= n + windows * (len(queries.KEYS) + 4 * len(queries.REQUIRED))
+
+
+@pytest.mark.parametrize("policy", ["hold", "nearest", "drop"])
+def test_resample_of_windows_is_that_of_their_grid(spark, policy):
+    r, fps, tol = random.Random(5), 1e9 / 7, 9
+    data = [(e, k, r.randint(-20, 300), s, None if s % 9 == 0 else float(s)) for s, (e, k) in enumerate((e, k) for e in range(5) for k in "abx" for _ in range(3 if k == "b" else 40))]
+    lost = [(0, "a", None, 1000, 1.0), (None, "a", 50, 1001, 2.0)]  # without a time, without an episode: of no frame
+    spans = [(0, 0, 280), (1, 60, 60), (2, -40, 400), (3, 100, 163), (7, 5, 50), (None, 40, 90)]
+    samples = spark.createDataFrame(data + lost, "episode_index long, feature_key string, ts_ns long, seq long, value double")
+    windows = spark.createDataFrame(spans, "episode_index long, start_ns long, end_ns long")
+    keys, want = ["a", "b", "none"], {}
+    for e, start, end in spans:
+        grid = [start + 7 * f for f in range(max(1, math.ceil((end - start) / 1e9 * fps)))]
+        for k in keys:
+            picked = brute([(t, s, (t, v)) for e2, k2, t, s, v in data if (e2, k2) == (e, k)], grid, policy, tol)
+            want |= {(e, k, f): (t, *(p or (None, None))) for f, (t, p) in enumerate(zip(grid, picked, strict=True))}
+    for got in (align.resample_windows(samples, windows, fps, keys, policy, tol), align.resample(samples, align.frame_grid(windows, fps), keys, policy, tol)):
+        rows = got.collect()
+        assert len(rows) == len(want) and {(x.episode_index, x.feature_key, x.frame_index): (x.grid_ns, x.src_ns, x.value) for x in rows} == want
+
+
 def test_nulls_count_as_rows_and_elements(spark):
     rows = [(0, [1.0, float("nan")]), (0, None), (0, [None, 2.0]), (1, None), (1, [])]
     got = quality.null_counts(spark.createDataFrame(rows, "e long, v array<double>"), ["e"], "v").orderBy("e").collect()
