@@ -130,7 +130,8 @@ def resample_windows(samples: DataFrame, windows: DataFrame, fps: float, keys: l
     w = Window.partitionBy(EPISODE, KEY).orderBy(F.asc_nulls_first("ts_ns"), "seq")  # the head comes first, as it has no time
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     both = rows.unionByName(heads).withColumns({"next_ns": F.lead("ts_ns").over(w), "next_value": F.lead("value").over(w), **{c: F.last(c, True).over(upto) for c in ("start_ns", "n_frames")}})
-    at = lambda c: F.greatest(F.lit(0).cast("long"), F.least("n_frames", F.expr(f"({c} - start_ns + {period - 1}L) div {period}L")))  # noqa: E731 - the first frame at or after it
+    # the first frame at or after a time, n_frames if there is none; held within the window first, as times may be too far apart for a long
+    at = lambda c: F.expr(f"(least(greatest({c}, start_ns), start_ns + (n_frames - 1) * {period}L + 1L) - start_ns + {period - 1}L) div {period}L")
     spans = both.withColumns({"lo": F.when(F.col("ts_ns").isNull(), F.lit(0).cast("long")).otherwise(at("ts_ns")), "hi": F.coalesce(F.when(F.col("next_ns").isNotNull(), at("next_ns")), "n_frames")})
     out = spans.where("lo < hi").withColumn("frame_index", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1))).withColumn("grid_ns", grid_ns)
     return out.select(EPISODE, "frame_index", KEY, "grid_ns", chosen(F.col("ts_ns"), F.col("next_ns")).alias("src_ns"), chosen(F.col("value"), F.col("next_value")).alias("value"))

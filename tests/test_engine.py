@@ -112,6 +112,23 @@ def test_resample_of_windows_is_that_of_their_grid(spark, policy):
         assert len(rows) == len(want) and {(x.episode_index, x.feature_key, x.frame_index): (x.grid_ns, x.src_ns, x.value) for x in rows} == want
 
 
+@pytest.mark.parametrize("policy", ["hold", "nearest", "drop"])
+def test_resample_of_windows_far_from_a_sample(spark, policy):
+    fps, tol, far = 1e9 / 7, 9, 2**63 - 1
+    spans = [(0, -40, 400), (1, 10, 10)]
+    data = [(e, k, t, s, float(s)) for s, (e, k, t) in enumerate((e, k, t) for e in (0, 1) for k in "ab" for t in (-far, -50, 3, 11, 90, 95, 402, far))]
+    samples = spark.createDataFrame(data, "episode_index long, feature_key string, ts_ns long, seq long, value double")
+    windows = spark.createDataFrame(spans, "episode_index long, start_ns long, end_ns long")
+    want = {}
+    for e, start, end in spans:
+        grid = [start + 7 * f for f in range(max(1, math.ceil((end - start) / 1e9 * fps)))]
+        for k in "ab":
+            picked = brute([(t, s, (t, v)) for e2, k2, t, s, v in data if (e2, k2) == (e, k)], grid, policy, tol)
+            want |= {(e, k, f): (t, *(p or (None, None))) for f, (t, p) in enumerate(zip(grid, picked, strict=True))}
+    rows = align.resample_windows(samples, windows, fps, ["a", "b"], policy, tol).collect()
+    assert len(rows) == len(want) and {(x.episode_index, x.feature_key, x.frame_index): (x.grid_ns, x.src_ns, x.value) for x in rows} == want
+
+
 def test_nulls_count_as_rows_and_elements(spark):
     rows = [(0, [1.0, float("nan")]), (0, None), (0, [None, 2.0]), (1, None), (1, [])]
     got = quality.null_counts(spark.createDataFrame(rows, "e long, v array<double>"), ["e"], "v").orderBy("e").collect()
